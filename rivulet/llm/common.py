@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,18 +47,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for the words of a task up to a bound."""
-
-    bound = 1 << 18
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.bound:
-            self[word] = value
-        return value
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Bits of 64-bit values spread over all 64 bits (a finaliser; one to one)."""
     h = h ^ (h >> np.uint64(32))
@@ -69,23 +56,85 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+with np.errstate(over="ignore"):
+    _BYTE_CODES = mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _MIX)
+
+
+def _powers(n: int) -> np.ndarray:
+    """The powers of an odd number, modulo 2^64."""
+    p = np.full(n, 0xD1342543DE82EF95, np.uint64)
+    if n:
+        p[0] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(p, dtype=np.uint64)
+
+
+_POWERS = _powers(1 << 10)
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased words of whole texts, and each text's offset in them.
+
+    All bytes of a batch are hashed at once: a word's hash is the sum of its bytes' codes times
+    powers of an odd number, finished by a mixing step.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    buf = np.frombuffer(b"\n".join([b"", *raw, b""]).translate(LOWER), np.uint8)
+    space = _SPACE[buf]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, ends = edge[::2], edge[1::2]
+    docs = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes + 1)]))
+    if not len(starts):
+        return np.empty(0, np.uint64), docs
+    lengths = ends - starts
+    at = np.arange(len(buf)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(buf)]])))
+    powers = _POWERS if lengths.max() <= len(_POWERS) else _powers(int(lengths.max()))
+    with np.errstate(over="ignore"):
+        codes = np.where(space, np.uint64(0), _BYTE_CODES[buf] * powers[np.where(space, 0, at)])
+        total = np.cumsum(codes, dtype=np.uint64)
+        return mixed(total[ends - 1] - total[starts - 1] + lengths.astype(np.uint64) * _MIX), docs
 
 
-def shingle_set(text: str | None, hashes: WordHashes, width: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a whole text.
+def shingle_sets(texts: list[str | None], width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each whole text, and each text's offset in them.
 
     A text of fewer words than a shingle has its whole word sequence as one shingle; a text
     without words has none.
     """
-    words = words_of(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    codes = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    wide = min(width, len(words))
+    words, docs = word_hashes(texts)
+    count = np.diff(docs)
+    of = np.repeat(np.arange(len(texts)), count)
+    parts, owners = [], []
     with np.errstate(over="ignore"):
-        h = np.full(len(words) - wide + 1, wide, np.uint64)
-        for k in range(wide):
-            h = mixed(h * _MIX + codes[k : len(words) - wide + 1 + k])
-    return np.unique(h)
+        for w in range(1, width):  # short texts
+            short = np.flatnonzero(count == w)
+            if len(short):
+                h = np.full(len(short), w, np.uint64)
+                for k in range(w):
+                    h = mixed(h * _MIX + words[docs[short] + k])
+                parts.append(h)
+                owners.append(short)
+        n = len(words) - width + 1
+        if n > 0:
+            h = np.full(n, width, np.uint64)
+            for k in range(width):
+                h = mixed(h * _MIX + words[k : n + k])
+            whole = of[:n] == of[width - 1 :]
+            parts.append(h[whole])
+            owners.append(of[:n][whole])
+    if not parts:
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    h, owner = np.concatenate(parts), np.concatenate(owners)
+    if len(parts) > 1:
+        order = np.argsort(owner, kind="stable")
+        h, owner = h[order], owner[order]
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if b - a > 1:
+            h[a:b].sort()
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h, owner = h[first], owner[first]
+    return h, np.searchsorted(owner, np.arange(len(texts) + 1))
