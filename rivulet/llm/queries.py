@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard_join, mixing, secrets, sharding, token_count
+from . import chat, jaccard_join, mixing, secrets, sharding, token_count, toxicity
 from .common import read
 
 #: Production parameters.
@@ -36,6 +36,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(turns))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(read(spark, sf_dir, "documents"), SHARD_BYTES)
     return out.selectExpr("doc_id", "cast(coalesce(octet_length(text), 0) as long) AS n_bytes", "shard_depth", "shard_prefix", "shard_bytes", "shard_oversize")
