@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard_join, mixing, secrets, sharding, token_count, toxicity
+from . import chat, embedding_dedup, jaccard_join, mixing, secrets, sharding, token_count, toxicity
 from .common import read
 
 #: Production parameters.
@@ -36,6 +36,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(turns))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_links(read(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
