@@ -110,8 +110,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, passes: int = P
 
     def stretch(names: list, ids: list, blobs: list) -> Iterator[pa.RecordBatch]:
         names, ids = np.array(names, object), np.array(ids, np.int64)
-        cuts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else []
-        for a, b in zip(cuts, [*cuts[1:], len(names)], strict=True):
+        cuts = [*np.flatnonzero(names[1:] != names[:-1]) + 1, len(names)] if len(names) else []
+        for a, b in zip([0, *cuts], cuts, strict=False):
             x = _unpack(blobs[a:b])
             left, right = [], []
             for k in range(1, min(window, len(x) - 1) + 1):

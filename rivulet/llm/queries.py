@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embedding_dedup, jaccard_join, mixing, secrets, sharding, token_count, toxicity
+from . import chat, embedding_dedup, jaccard_join, mixing, secrets, sharding, suffix_dedup, token_count, toxicity
 from .common import read
 
 #: Production parameters.
@@ -50,6 +50,10 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "cast(coalesce(octet_length(text), 0) as long) AS n_bytes", "shard_depth", "shard_prefix", "shard_bytes", "shard_oversize")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("removed")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(secrets.find_secrets(read(spark, sf_dir, "documents")))
 
