@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embedding_dedup, jaccard_join, mixing, secrets, sharding, suffix_dedup, token_count, toxicity
+from . import chat, decontamination, embedding_dedup, jaccard_join, mixing, secrets, sharding, suffix_dedup, token_count, toxicity
 from .common import read
 
 #: Production parameters.
@@ -36,6 +36,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(turns))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_links(read(spark, sf_dir, "embeddings"))
 
