@@ -120,7 +120,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col:
         return docs.sparkSession.createDataFrame([], f"`{id_col}` {kind[0]}, `{item_col}` {kind[1]}, start_word int, n_words int, similarity double")
     windows = found.dropDuplicates(["_id", "_size", "_start", "_window"])
     windows = windows.withColumn("_shingles", _own_shingles(F.col("_window")))
-    windows = windows.withColumn("_print", simhash(F.col("_shingles")))
+    # Behind a checkpoint, so that no filter of the join below is moved under the fingerprints and computes them again.
+    windows = checkpoint(windows.withColumn("_print", simhash(F.col("_shingles"))))
 
     index = items.select("_item", "_n", F.col("_own").alias("_other"), "_bits", _blocks(F.col("_bits")).alias("_ibs"))
     index = index.select("*", F.posexplode_outer("_ibs").alias("_ib", "_iv"))
