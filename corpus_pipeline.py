@@ -1,16 +1,66 @@
-"""A training-data pipeline over documents: each stage calls one operator of rivulet.llm."""
+"""A training-data pipeline over documents: each stage calls one operator of rivulet.llm.
+
+A stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns the
+columns of documents; the last adds those of its shards.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rivulet.llm import decontamination, jaccard_join, mixing, sharding, toxicity
+from rivulet.llm.common import read
+from rivulet.llm.queries import SHARD_BYTES, WEIGHTS
+
+TOXIC = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the threshold stay."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return docs.withColumn("_score", toxicity.toxicity_score(docs, model)).where(F.col("_score") < TOXIC).drop("_score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component stays, and every document without shingles or an id."""
+    found = jaccard_join.jaccard_components(docs)
+    copies = found.where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item stay."""
+    return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; documents without words are in no budget and stay once."""
+    plan = mixing.mix_plan(docs, WEIGHTS)
+    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1)
+    plan = plan.select(F.col("doc_id").alias("_id"), times.alias("_times")).dropDuplicates(["_id"])
+    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_times > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their shard."""
+    return sharding.shard(docs, SHARD_BYTES)
+
 
-STAGES: list = []
-#: SQL can't express the stages; tests/llm holds the pipeline against a brute-force version.
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_leaks),
+    ("source_mixing", mix_sources),
+    ("sharding", deal_shards),
+]
+#: SQL can't express the fitted model; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
