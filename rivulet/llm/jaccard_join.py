@@ -2,7 +2,7 @@
 
 Sets are dealt into bands of sizes. Two sets of Jaccard similarity t or more whose sizes end in
 band i differ in at most k_i = 2 r_i (1 - t) / (1 + t) features, r_i being the band's largest
-size. The feature domain is cut into n1 parts of n2 pieces each; a signature is a part with all
+size. The feature domain is cut into n1 parts of two pieces each; a signature is a part with all
 but one of its pieces, hashed over the features that lie there. With n1 > k_i / 2 parts, some
 part of two similar sets differs in one piece at most, so they share a signature. A set also
 signs for the next band if a similar set can lie there.
@@ -24,19 +24,20 @@ what is left is decided on the full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _MIX, SHINGLE_WORDS, checkpoint, mixed, shingle_sets, small_batches
+from .common import _MIX, SHINGLE_WORDS, checkpoint, mixed, release, shingle_sets, small_batches
 from .components import connected_components
 
 #: Ratio of the sizes of a band, pieces of a part, and the slack of the number of parts.
-BAND, PIECES, SLACK = 1.5625, 2, 0.15
+BAND, PIECES, SLACK = 1.5625, 2, 0.35
 #: A feature that so many sets hold (as far as partial counts tell) is left out; at most so many are.
-FREQUENT, MOST_FREQUENT, LOCAL = 64, 1 << 18, 3
+FREQUENT, MOST_FREQUENT, LOCAL = 64, 1 << 18, 2
 #: Features that a task gathers before it counts or sends them.
 FLUSH = 1 << 21
 #: A signature of so many sets in one batch of a task is summed up there.
@@ -44,6 +45,10 @@ LOCAL_BUCKET = 32
 #: Classes of at most so many rows are broadcast by their ids (8 bytes each).
 BROADCAST_IDS = 200_000
 BYTES_PER_PART = 1 << 20
+#: Bytes of a signature that are sent besides its partition; a chance match is ruled out later.
+SIG_BYTES = 5
+#: Words of the parity sketch that is compared inside the join.
+WORDS = 8
 
 
 def _bands() -> np.ndarray:
@@ -78,6 +83,12 @@ def _sketch_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def _words(features: np.ndarray) -> list[int]:
+    """Parity of the features at each of 64 * WORDS bits."""
+    at = (features >> np.uint64(32)) % np.uint64(64 * WORDS)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def _similar(x: int, y: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (x + y - both)
 
@@ -99,19 +110,20 @@ class Frequent:
         return out
 
 
-def _parts(features: np.ndarray, tag: int, n1: int, domain: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes over each part without one of its pieces, and how many features lie there."""
+def _parts(features: np.ndarray, tag: int, n1: int, n2: int, spared: int, domain: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes over each part without any `spared` of its n2 pieces, and how many features lie there."""
+    keep = np.array([[0 if j in out else 1 for j in range(n2)] for out in combinations(range(n2), spared)])
     with np.errstate(over="ignore"):
         h = mixed(features + np.uint64(2 * tag + domain + 1) * _MIX)
         part = ((h >> np.uint64(32)) * np.uint64(n1)) >> np.uint64(32)
-        piece = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(PIECES)) >> np.uint64(32)
-        cell = (part * np.uint64(PIECES) + piece).astype(np.int64)
-        sums = np.zeros(n1 * PIECES, np.uint64)
+        piece = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(n2)) >> np.uint64(32)
+        cell = (part * np.uint64(n2) + piece).astype(np.int64)
+        sums = np.zeros(n1 * n2, np.uint64)
         np.add.at(sums, cell, mixed(h))
-        count = np.bincount(cell, minlength=n1 * PIECES).reshape(n1, PIECES)
-        sums = sums.reshape(n1, PIECES)
-        name = np.arange(n1 * PIECES, dtype=np.uint64).reshape(n1, PIECES) + np.uint64((2 * tag + domain) << 40)
-        return mixed(sums.sum(1, keepdims=True) - sums + mixed(name * _MIX)), count.sum(1, keepdims=True) - count
+        count = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2) @ keep.T
+        sums = (sums.reshape(n1, 1, n2) * keep.astype(np.uint64)).sum(2, dtype=np.uint64)
+        name = np.arange(sums.size, dtype=np.uint64).reshape(sums.shape) + np.uint64((2 * tag + domain) << 40)
+        return mixed(sums + mixed(name * _MIX)), count
 
 
 def signatures(features: np.ndarray, frequent: Frequent, percent: int) -> np.ndarray:
@@ -126,20 +138,45 @@ def signatures(features: np.ndarray, frequent: Frequent, percent: int) -> np.nda
     for tag in tags:
         most = int(BOUNDS[tag + 1] - 1)
         k = 2 * most * (100 - percent) // (100 + percent)
-        need = k // 2 + 1
-        n1 = need if k == 0 else need + max(2, int(need * SLACK))
-        sure = n1 - k // 2  # parts that a similar set shares, but for one piece
-        h, count = _parts(rare, tag, n1, 0)
+        if k == 0:  # equal sets are one class
+            continue
+        n1 = (k + int(k * SLACK) + 3) // 2
+        h, count = _parts(rare, tag, n1, PIECES, 1, 0)
         out.append(h[count > 0])
-        if (count == 0).any(axis=1).sum() >= sure:
+        # A difference spoils the signatures of a part's other pieces only, so a similar set shares all but so many.
+        if (count == 0).sum() >= n1 * PIECES - k * (PIECES - 1):
             with np.errstate(over="ignore"):
-                out.append(mixed(rare * _MIX + np.uint64(tag)))
+                out.append(mixed(rare[: k + 1] * _MIX + np.uint64(tag)))
             if len(rare) <= k:
-                h, count = _parts(features, tag, n1, 1)
-                out.append(h.ravel() if (count == 0).any(axis=1).sum() >= sure else h[count > 0])
+                n1, n2, spared = (1, 2 * k + 1, k) if k <= 3 else (k // 3 + 1 + max(1, k // 20), 6, 2)
+                h, count = _parts(features, tag, n1, n2, spared, 1)
+                out.append(h.ravel() if (count == 0).any(axis=1).sum() >= n1 - k // (spared + 1) else h[count > 0])
+    if not out:
+        return np.empty(0, np.uint64)
     return np.unique(np.concatenate(out))
 
 
+def _cut(sig: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The partition of each signature, and SIG_BYTES bytes of it that follow; order is kept."""
+    scaled = (sig >> np.uint64(32)) * np.uint64(parts)
+    part = scaled >> np.uint64(32)
+    rest = ((scaled & np.uint64(0xFFFFFFFF)) << np.uint64(32)) | mixed(sig) >> np.uint64(32)
+    return part, rest.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES]
+
+
+def _whole(parts: bytes, part: int) -> np.ndarray:
+    """Signatures, unique over all partitions, from their bytes."""
+    out = np.zeros((len(parts) // SIG_BYTES, 8), np.uint8)
+    out[:, 8 - SIG_BYTES :] = np.frombuffer(parts, np.uint8).reshape(-1, SIG_BYTES)
+    return out.view(">u8").ravel().astype(np.uint64) | np.uint64(part << (8 * SIG_BYTES))
+
+
+def _whole_of(part: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rest), 8), np.uint8)
+    out[:, 8 - SIG_BYTES :] = rest
+    return out.view(">u8").ravel().astype(np.uint64) | part << np.uint64(8 * SIG_BYTES)
+
+
 def _gathered(sets: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
     """Sets in lists of about FLUSH features."""
     held, size = [], 0
@@ -154,7 +191,7 @@ def _gathered(sets: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
 
 
 def shingle_classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(_id, n, node, sketch, frequent): one row a document, and rows of frequent features (with a null node).
+    """(_id, n, node, sketch, words, frequent): one row a document, and rows of frequent features (with a null node).
 
     node is a 64-bit hash of the set, null for a set without features.
     """
@@ -170,25 +207,26 @@ def shingle_classes(docs: DataFrame, id_col: str, text_col: str, width: int) ->
             h, n = h[n >= LOCAL], n[n >= LOCAL]
             top = np.argsort(n)[::-1][: MOST_FREQUENT // 4]
             nothing = pa.nulls(len(top))
-            return pa.RecordBatch.from_arrays([nothing.cast(id_type), pa.array(n[top], pa.int64()), nothing.cast(pa.int64()), nothing.cast(pa.binary()), pa.array(h[top].view(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([nothing.cast(id_type), pa.array(n[top], pa.int64()), nothing.cast(pa.int64()), nothing.cast(pa.binary()), nothing.cast(pa.list_(pa.int64())), pa.array(h[top].view(np.int64))], names=names)
 
-        names = ["_id", "n", "node", "sketch", "frequent"]
+        names = ["_id", "n", "node", "sketch", "words", "frequent"]
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
             h, at = shingle_sets(batch.column(1).to_pylist(), width)
-            nodes, sketches = [], []
+            nodes, sketches, words = [], [], []
             for a, b in zip(at[:-1], at[1:], strict=True):
                 own = h[a:b]
                 with np.errstate(over="ignore"):
                     node = int(mixed(mixed(own).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a) * _MIX)[0].astype(np.int64)) if b > a else None
                 nodes.append(node)
                 sketches.append(_sketch(own) if b > a else None)
+                words.append(_words(own) if b > a else None)
                 if b > a and node not in seen:
                     seen.add(node)
                     held.append(own)
                     size += len(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(len(nodes), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(words, pa.list_(pa.int64())), pa.nulls(len(nodes), pa.int64())], names=names)
             if size >= FLUSH:
                 yield counted()
                 held, size = [], 0
@@ -196,7 +234,7 @@ def shingle_classes(docs: DataFrame, id_col: str, text_col: str, width: int) ->
         if held:
             yield counted()
 
-    return docs.select(id_col, text_col).mapInArrow(classes, f"_id {kind}, n long, node long, sketch binary, frequent long")
+    return docs.select(id_col, text_col).mapInArrow(classes, f"_id {kind}, n long, node long, sketch binary, words array<long>, frequent long")
 
 
 def shared_signatures(docs: DataFrame, text_col: str, width: int, percent: int, frequent) -> DataFrame:
@@ -232,9 +270,12 @@ def shared_signatures(docs: DataFrame, text_col: str, width: int, percent: int,
             full = np.repeat(size >= LOCAL_BUCKET, size)
             lead = np.zeros(len(sig), bool)
             lead[start] = True
-            for part, kind, keep in ((((sig * np.uint64(1)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), 0, ~full | lead), (mixed(node) % np.uint64(parts), 1, full)):
-                p, s, o = part[keep], sig[keep], node[keep]
+            part, rest = _cut(sig, parts)
+            for kind, keep in ((0, ~full | lead), (1, full)):
+                p, s, o = part[keep], rest[keep], node[keep]
                 if kind:
+                    s = np.ascontiguousarray(_whole_of(p, s))
+                    p = mixed(o) % np.uint64(parts)
                     order = np.argsort(p, kind="stable")
                     p, s, o = p[order], s[order], o[order]
                 cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.empty(0, np.int64)
@@ -242,12 +283,11 @@ def shared_signatures(docs: DataFrame, text_col: str, width: int, percent: int,
                 yield pa.RecordBatch.from_arrays([pa.array(p[cuts].astype(np.int64)), pa.array(np.full(len(cuts), kind == 1)), pa.array([s[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([o[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["part", "shared", "sigs", "nodes"])
 
     def met(group: pa.Table) -> pa.Table:
-        shared = group.column("shared").to_numpy()
-        columns = []
-        for name in ("sigs", "nodes"):
-            blobs = group.column(name).to_pylist()
-            columns.append([np.frombuffer(b"".join(x for x, s in zip(blobs, shared, strict=True) if s == want), np.uint64) for want in (False, True)])
-        (sig, known), (node, owner) = columns
+        shared = group.column("shared").to_pylist()
+        part = group.column("part")[0].as_py()
+        blobs = {(n, want): b"".join(x for x, s in zip(group.column(n).to_pylist(), shared, strict=True) if s == want) for n in ("sigs", "nodes") for want in (False, True)}
+        sig, known = _whole(blobs["sigs", False], part), np.frombuffer(blobs["sigs", True], np.uint64)
+        node, owner = (np.frombuffer(blobs["nodes", want], np.uint64) for want in (False, True))
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
         new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])] if len(sig) else np.empty(0, bool)
@@ -264,7 +304,6 @@ def shared_signatures(docs: DataFrame, text_col: str, width: int, percent: int,
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar."""
-    # reliable at any size: sizes and sketches first
     sizes = classes.select("node", "n", "sketch", "_id")
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,9 +359,11 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = SHINGLE_
     top = rows.where("frequent IS NOT NULL").groupBy("frequent").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "frequent").limit(MOST_FREQUENT)
     frequent = spark.sparkContext.broadcast([r[0] for r in top.select("frequent").collect()])
     each = rows.where("frequent IS NULL").drop("frequent")
-    classes = each.where("node IS NOT NULL AND _id IS NOT NULL").groupBy("node").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = each.where("node IS NOT NULL AND _id IS NOT NULL").groupBy("node").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("words").alias("words"))
     classes = checkpoint(classes)
+    release(spark)
     shared = checkpoint(shared_signatures(docs.where(F.col(id_col).isNotNull()), text_col, width, percent, frequent))
+    release(spark)
 
     centre = shared.groupBy("sig").agg(F.min("node").alias("a"))
     stars = shared.join(centre, "sig").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
@@ -332,8 +373,14 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = SHINGLE_
     labelled = shared.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     apart = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("sig")
     apart = checkpoint(labelled.join(apart, "sig", "left_semi"))
-    across = apart.select("sig", F.col("node").alias("a"), F.col("c").alias("ca")).join(apart.select("sig", F.col("node").alias("b"), F.col("c").alias("cb")), "sig")
-    across = across.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
+    info = classes.select("node", "n", *[F.get("words", k).alias(f"w{k}") for k in range(WORDS)])
+    apart = apart.join(info, "node")
+    x, y = (apart.select(*[F.col(c).alias(c if c == "sig" else f"{side}{c}") for c in apart.columns]) for side in "xy")
+    differ = sum((F.bit_count(F.col(f"xw{k}").bitwiseXOR(F.col(f"yw{k}"))) for k in range(WORDS)), F.lit(0))
+    total = F.col("xn") + F.col("yn")
+    possible = (F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent) & (differ * (100 + percent) <= total * (100 - percent))
+    across = x.join(y, (x["sig"] == y["sig"]) & (F.col("xnode") < F.col("ynode")) & (F.col("xc") != F.col("yc")) & possible)
+    across = across.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct()
     second = _verified(checkpoint(across), classes, docs, id_col, text_col, width, percent)
     if not second.isEmpty():
         found = checkpoint(connected_components(first.unionByName(second)))
