@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm import decontamination, jaccard_join, mixing, sharding, toxicity
-from rivulet.llm.common import read
+from rivulet.llm.common import checkpoint, read
 from rivulet.llm.queries import SHARD_BYTES, WEIGHTS
 
 TOXIC = 0.3
@@ -60,7 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written once and read by the next."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = checkpoint(stage(spark, docs, sf_dir))
     return docs
