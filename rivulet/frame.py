@@ -163,7 +163,7 @@ class Frame:
     # Groups
 
     def groupby(self, by: str | list[str] | None = None) -> Frame:
-        return replace(self, keys=tuple([by] if isinstance(by, str) else by or ()), order=())
+        return replace(self, keys=tuple([by] if isinstance(by, str) else by or ()))
 
     def agg(self, spec: dict) -> Frame:
         """<column>_<function>; the group keys become the index."""
@@ -193,8 +193,40 @@ class Frame:
         numbers = [c for c, t in self.df.dtypes if c in self.data and t in ("bigint", "int", "double", "float", "smallint")]
         return self._with(grouping.describe(self.df, numbers, percentiles), index=("__stat",), keys=(), order=())
 
+    def quantile(self, columns: list[str], q: float | list[float] = 0.5) -> Frame:
+        """Interpolated quantiles of each group; a list of them adds the index column quantile."""
+        qs = q if isinstance(q, list) else [q]
+        out = grouping.aggregate(self.df, list(self.keys), *[grouping.quantile(F.col(c), qs).alias(c) for c in columns])
+        at = out.select(*self.keys, *columns, F.posexplode(F.array(*[F.lit(x) for x in qs])).alias("_at", "quantile"))
+        picks = [F.get(F.col(c), F.col("_at")).alias(c) for c in columns]
+        index = (*self.keys, "quantile") if isinstance(q, list) else self.keys
+        return self._with(at.select(*index, *picks), index=index, keys=(), order=())
+
+    # Windows: over the group keys, in the frame's order
+
+    def _spec(self):
+        return windows.window(list(self.keys), [c for c, _ in self.order], [up for _, up in self.order])
+
+    def over(self, **columns: Column) -> Frame:
+        """Window functions over the keys and the order: name = function column."""
+        spec = self._spec()
+        return self._with(self.df.withColumns({k: c.over(spec) for k, c in columns.items()}))
+
+    def rolling(self, spec: dict[str, str], window: int, min_periods: int | None = None, center: bool = False) -> Frame:
+        """<column>_<function> over the last rows of each row's group."""
+        made = {f"{c}_{f}": windows.rolling(grouping.resolve(f)[1](F.col(c)), self._spec(), window, min_periods, center) for c, f in spec.items()}
+        return self._with(self.df.withColumns(made))
+
+    def expanding(self, spec: dict[str, str], min_periods: int = 1) -> Frame:
+        made = {f"{c}_{f}": windows.expanding(grouping.resolve(f)[1](F.col(c)), self._spec(), min_periods) for c, f in spec.items()}
+        return self._with(self.df.withColumns(made))
+
     # Shapes
 
+    def hist(self, columns: list[str], bins: int = 10) -> Frame:
+        """Rows of each of a number of equal bins, over all columns at once: lower, upper, and a count for each column."""
+        return Frame(shaping.histogram(self.df, columns, bins), ("lower", "upper"))
+
     def stack(self, columns: list[str] | None = None, dropna: bool = True) -> Frame:
         return self._with(shaping.stack(self.df, list(self.index), columns or self.data, dropna), index=(*self.index, "__stacked_index"), order=())
 

@@ -82,6 +82,19 @@ def qcut(df: DataFrame, column: str, q: int | list[float], name: str = "q_range"
     return out.select(*df.columns, _bin_of(F.col(column), edges, True).alias(name))
 
 
+def histogram(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
+    """(lower, upper, count of each column) for bins of equal width over all columns; the first bin holds its lower edge too, and empty bins stay."""
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    ends = df.agg(F.min(F.array_min(values)).alias("_a"), F.max(F.array_max(values)).alias("_b"))  # one row
+    step = (F.col("_b") - F.col("_a")) / bins
+    long = stack(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), [], columns).crossJoin(F.broadcast(ends))
+    place = F.when(step == 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.ceil((F.col("__stacked") - F.col("_a")) / step) - 1)))
+    counts = long.groupBy(place.cast("int").alias("_n")).pivot("__stacked_index", columns).agg(F.count(F.lit(1)))
+    table = ends.select("_a", step.alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("_k"))
+    out = table.join(counts, F.col("_k") == F.col("_n"), "left").orderBy("_k")
+    return out.select((F.col("_a") + F.col("_s") * F.col("_k")).alias("lower"), (F.col("_a") + F.col("_s") * (F.col("_k") + 1)).alias("upper"), *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in columns])
+
+
 def sample(df: DataFrame, percentage: float, seed: int) -> DataFrame:
     """Rows taken independently with a probability."""
     return df.sample(percentage / 100, seed)

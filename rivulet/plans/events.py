@@ -70,15 +70,15 @@ def sessionize(df: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS, user: str
 def number_rows(df: DataFrame, by: list[str], name: str) -> DataFrame:
     """Numbers from 1 over a whole frame in an order, without gathering it in one task.
 
-    Rows are dealt to days of the first key (any monotone coarse key would do); days are counted
-    with partial sums, and a row's number is its place in its day after the days before.
+    Rows are dealt to hours of the first key (any monotone coarse key would do); hours are counted
+    with partial sums, and a row's number is its place in its hour after the hours before.
     """
-    df = df.withColumn("_day", F.date_trunc("hour", by[0]))
-    counts = df.groupBy("_day").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("_day").orderBy(*by))
-    out = df.withColumn("_place", place).join(before.select(F.col("_day").alias("_d"), "_before"), F.col("_day") == F.col("_d"))
-    return out.withColumn(name, F.col("_before") + F.col("_place")).drop("_day", "_place", "_d", "_before")
+    df = df.withColumn("_hour", F.date_trunc("hour", by[0]))
+    counts = df.groupBy("_hour").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_hour").orderBy(*by))
+    out = df.withColumn("_place", place).join(before.select(F.col("_hour").alias("_h"), "_before"), F.col("_hour") == F.col("_h"))
+    return out.withColumn(name, F.col("_before") + F.col("_place")).drop("_hour", "_place", "_h", "_before")
 
 
 def session_frame(raw: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS, identity_id: str | None = None, resolve: bool = False, anonymous: bool = False) -> DataFrame:

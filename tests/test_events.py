@@ -112,6 +112,18 @@ def test_frame(spark):
     assert got.count() == 5 and dict(got.dtypes)["x"] == "double"
 
 
+def test_windows_and_quantiles(spark):
+    df = spark.createDataFrame([(k, i, float(i * i)) for k in "ab" for i in range(5)], "k string, i int, x double")
+    f = Frame(df).groupby("k").sort_values("i")
+    got = f.rolling({"x": "sum"}, 2).expanding({"x": "max"}).over(n=F.row_number(), before=F.lag("x")).df.where("k = 'a'").orderBy("i").collect()
+    assert [r.x_sum for r in got] == [None, 1.0, 5.0, 13.0, 25.0]
+    assert [(r.x_max, r.n, r.before) for r in got][-1] == (16.0, 5, 9.0)
+    out = Frame(df).groupby("k").quantile(["x"], [0.25, 0.5])
+    assert out.index == ("k", "quantile") and {(r.quantile, r.x) for r in out.df.collect()} == {(0.25, 1.0), (0.5, 4.0)}
+    hist = Frame(df).hist(["i", "x"], 4).df.collect()
+    assert [(r.lower, r.i, r.x) for r in hist] == [(0.0, 10, 6), (4.0, 0, 0), (8.0, 0, 2), (12.0, 0, 2)]
+
+
 @pytest.mark.parametrize("right", [True, False])
 def test_cut_like_pandas(spark, right):
     import pandas as pd
