@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,15 +26,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder in spark.checkpoint.dir, which outlives executors.
+    """Cut the lineage through a table in the folder that spark.checkpoint.dir names, which outlives executors.
 
-    A folder of our own is set only where the session names none (local runs and tests).
+    A folder of our own is set only where the session names none (local runs and tests). The
+    tables are compressed, so they take a fraction of what an RDD's checkpoint does; they are
+    removed when the driver ends.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+    folder = context._jsc.sc().getCheckpointDir()
+    if not folder.isDefined():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rivulet-"))
-    return df.checkpoint()
+        folder = context._jsc.sc().getCheckpointDir()
+    path = f"{folder.get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a table if Spark still runs; what a stopped session leaves is its cluster's to clear."""
+    with contextlib.suppress(Exception):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
