@@ -238,7 +238,7 @@ def shingle_classes(docs: DataFrame, id_col: str, text_col: str, width: int) ->
 
 
 def shared_signatures(docs: DataFrame, text_col: str, width: int, percent: int, frequent) -> DataFrame:
-    """(sig, node) of the signatures that more than one class has."""
+    """(sig, node) of the signatures that more than one class has; a few rows come twice."""
     parts = _n_parts(docs)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +299,7 @@ def shared_signatures(docs: DataFrame, text_col: str, width: int, percent: int,
         return pa.table({"sig": np.concatenate([sig[keep], known]).view(np.int64), "node": np.concatenate([node[keep], owner]).view(np.int64)})
 
     blobs = docs.select(text_col).mapInArrow(signed, "part long, shared boolean, sigs binary, nodes binary")
-    return blobs.groupBy("part").applyInArrow(met, "sig long, node long").distinct()
+    return blobs.groupBy("part").applyInArrow(met, "sig long, node long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
@@ -369,6 +369,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = SHINGLE_
     stars = shared.join(centre, "sig").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
     first = _verified(checkpoint(stars), classes, docs, id_col, text_col, width, percent)
     found = checkpoint(connected_components(first))
+    release(spark)
     # Where a signature's classes are still apart, they are compared across components.
     labelled = shared.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     apart = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("sig")
