@@ -2,9 +2,10 @@
 
 A pass gives each vector the concatenated bits of random projections and orders the vectors of a
 label by them; a vector is compared with a bounded number of neighbours in that order. Verified
-pairs of all passes are united. The links of a component are then counted exactly, in blocks of
-its vectors, so a dense group has all its links although a pass sees only a few neighbours of
-each vector; pairs are never emitted. Equal vectors are one class throughout.
+pairs of all passes are united. In a crowded label more vectors than that stand between two
+linked ones, so all pairs of a label are then compared, in blocks of its vectors: that counts the
+links, and unites the components that the passes left apart. Pairs are never emitted, only stars
+of components. Equal vectors are one class throughout.
 """
 
 from __future__ import annotations
@@ -129,28 +130,40 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, passes: int = P
     ordered = ordered.repartitionByRange(n, "pass", "key", "_c").sortWithinPartitions("pass", "key", "_c")
     found = checkpoint(connected_components(ordered.mapInArrow(near, "a long, b long")))
 
-    comps = classes.join(found, F.col("_c") == F.col("node"), "left").select("_c", "least", "copies", "_v", F.coalesce("component", "_c").alias("k"))
+    comps = classes.join(found, F.col("_c") == F.col("node"), "left").select("_c", "_l", F.length("_v").alias("size"), "least", "copies", "_v", F.coalesce("component", "_c").alias("k"))
     comps = checkpoint(comps)
-    sizes = comps.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min("least").alias("component_id")).where("size > 1")
-    members = checkpoint(comps.join(sizes, "k"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64(F.lit("block"), "_c"), blocks).cast("int")
-    tiles = members.select("k", "_c", "copies", "_v", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    tiles = tiles.select("k", "_c", "copies", "_v", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    labels = comps.groupBy(F.col("_l").alias("label"), F.col("size").alias("bytes")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    members = comps.join(labels, (F.col("_l") == F.col("label")) & (F.col("size") == F.col("bytes")))
+    own = F.pmod(F.xxhash64(F.lit("block"), "_c"), F.col("blocks")).cast("int")
+    tiles = members.select("_l", "size", "k", "_c", "copies", "_v", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tiles = tiles.select("_l", "size", "k", "_c", "copies", "_v", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     def counted(tile: pd.DataFrame) -> pd.DataFrame:
+        """Links of the vectors of two blocks (_c, links), and stars of the components that they unite (a, b)."""
         low, high = tile["low"].iloc[0], tile["high"].iloc[0]
         x, y = tile[tile["own"] == low], tile[tile["own"] == high]
         if not len(x) or not len(y):
-            return pd.DataFrame({"_c": [], "links": []}).astype({"_c": "int64", "links": "int64"})
+            return pd.DataFrame({"_c": [], "links": [], "a": [], "b": []}).astype("int64")
         linked = _unpack(x["_v"].tolist()) @ _unpack(y["_v"].tolist()).T >= threshold
         if low == high:
             np.fill_diagonal(linked, False)
-            return pd.DataFrame({"_c": x["_c"], "links": linked @ y["copies"].to_numpy()})
-        return pd.concat([pd.DataFrame({"_c": x["_c"], "links": linked @ y["copies"].to_numpy()}), pd.DataFrame({"_c": y["_c"], "links": linked.T @ x["copies"].to_numpy()})])
-
-    links = tiles.groupBy("k", "low", "high").applyInPandas(counted, "_c long, links long").groupBy("_c").agg(F.sum("links").alias("links"))
-    named = members.select("_c", "component_id").join(links, "_c", "left")
+        names, place = np.unique(np.concatenate([x["k"].to_numpy(), y["k"].to_numpy()]), return_inverse=True)
+        left, right = place[: len(x)], place[len(x) :]
+        at = np.nonzero(linked & (left[:, None] != right[None, :]))
+        root = _roots(len(names), left[at[0]], right[at[1]])
+        far = np.flatnonzero(root != np.arange(len(names)))
+        parts = [pd.DataFrame({"_c": x["_c"].to_numpy(), "links": linked @ y["copies"].to_numpy(), "a": 0, "b": 0})]
+        if low != high:
+            parts.append(pd.DataFrame({"_c": y["_c"].to_numpy(), "links": linked.T @ x["copies"].to_numpy(), "a": 0, "b": 0}))
+        parts = [p[p["links"] > 0] for p in parts]
+        return pd.concat([*parts, pd.DataFrame({"_c": 0, "links": 0, "a": names[far], "b": names[root[far]]})])
+
+    compared = checkpoint(tiles.groupBy("_l", "size", "low", "high").applyInPandas(counted, "_c long, links long, a long, b long"))
+    united = connected_components(compared.where("links = 0").select("a", "b"))
+    links = compared.where("links > 0").groupBy("_c").agg(F.sum("links").alias("links"))
+    comps = comps.join(united, F.col("k") == F.col("node"), "left").select("_c", "least", F.coalesce("component", "k").alias("k"))
+    sizes = comps.groupBy("k").agg(F.min("least").alias("component_id"))
+    named = comps.join(sizes, "k").select("_c", "component_id").join(links, "_c", "left")
     out = rows.select("_id", "_c").join(classes.select("_c", "copies", "least"), "_c", "left").join(named, "_c", "left")
     component = F.coalesce("component_id", "least", "_id")
     return out.select(F.col("_id").alias(id_col), (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(False)).alias("kept"))

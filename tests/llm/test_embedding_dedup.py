@@ -64,3 +64,19 @@ def test_links_against_all_pairs(spark):
     wrong = {k for k in want if sorted(want[k], key=str) != sorted(got[k], key=str)}
     assert len(wrong) <= 0.002 * len(rows), [(k, want[k], got[k]) for k in list(wrong)[:9]]
     assert embedding_links(t.limit(0)).count() == 0
+
+
+def test_crowded_label_exactly(spark):
+    """Every vector has many neighbours below the threshold, more than a window holds; no link is lost."""
+    rng = np.random.default_rng(11)
+    n, dim = 5_000, 64
+    centre = rng.standard_normal(dim)
+    crowd = centre / np.linalg.norm(centre) + rng.standard_normal((n, dim)) * 0.23 / dim**0.5  # median cosine 0.95
+    step = rng.standard_normal((200, dim))
+    near = crowd[:200] + step / np.linalg.norm(step, axis=1)[:, None] * 0.19
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([crowd, near]))]
+    want = brute(rows)
+    assert sum(len(v) for v in want.values()) == n + 200 and sum(v[0][0] > 0 for v in want.values()) >= 350
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    got = {r.vec_id: [(r.n_links, r.component_id)] for r in embedding_links(t).collect()}
+    assert got == want
