@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import checkpoint, small_batches
 
 #: Characters of the highest order and of the highest shared order.
 ORDER, SHARED_ORDER = 6, 4
@@ -32,8 +32,6 @@ DISCOUNT = 0.75
 MAX_PER_CLASS = 6_000
 #: One in so many of them is kept out of the counts, for the logistic curve.
 HELD = 4
-#: Shared character sequences that are kept at most, the most frequent ones.
-MAX_SHARED = 200_000
 #: Margin and bound of a word's evidence, in nats, and the words added to a text's number.
 MARGIN, MOST, MORE_WORDS = 3.0, 8.0, 8
 #: Distinct words a worker holds at once.
@@ -58,7 +56,7 @@ def _grams(words: Counter, sizes: range) -> Counter:
     return out
 
 
-def _counted(df: DataFrame, sizes: range, least: int) -> DataFrame:
+def _counted(df: DataFrame, sizes: range) -> DataFrame:
     """(kind, gram, n) over (kind, text): partial counts in each task, summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,44 +77,76 @@ def _counted(df: DataFrame, sizes: range, least: int) -> DataFrame:
                 yield from send()
         yield from send()
 
-    return df.mapInArrow(count, "kind int, gram string, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return df.mapInArrow(count, "kind int, gram string, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n"))
+
+
+def _ending(gram: str) -> str:
+    """What the shared orders are asked for where a class's own orders don't hold a sequence."""
+    return gram.removeprefix(START)[-SHARED_ORDER:]
+
+
+def _shared_counts(texts: DataFrame, endings: set[str]) -> tuple[dict[str, tuple], float]:
+    """Shared counts of the endings and their own endings, {gram: (n, total of its context, types of its context)}, and the floor."""
+    spark = texts.sparkSession
+    level = checkpoint(_counted(texts.select(F.lit(0).alias("kind"), "text"), range(SHARED_ORDER, SHARED_ORDER + 1)).select("gram", "n"))
+    wanted = spark.createDataFrame(pa.table({"w": pa.array(sorted(endings), pa.string())}))
+    found = []
+    for k in range(SHARED_ORDER, 0, -1):
+        if k < SHARED_ORDER:  # types before a sequence, not its tokens
+            level = checkpoint(level.groupBy(F.substring("gram", -k, k).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+        context = F.expr("substring(gram, 1, length(gram) - 1)")
+        contexts = level.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
+        need = wanted.where(F.length("w") >= k).select(F.substring("w", -k, k).alias("gram")).distinct()
+        need = need.join(level, "gram", "left").withColumn("context", context).join(contexts, "context", "left")
+        found.append(need.select("gram", "n", "total", "types"))
+    out: dict[str, tuple] = {}
+    for part in found:
+        rows = part.toArrow()
+        out |= {g: tuple(x) for g, *x in zip(*(rows.column(c).to_pylist() for c in ("gram", "n", "total", "types")), strict=True)}
+    return out, 1.0 / (level.count() + 1)
 
 
 class KneserNey:
-    """Interpolated Kneser-Ney probabilities of a character after those before it."""
+    """Ratios of two classes' interpolated Kneser-Ney probabilities of a character after those before it."""
 
-    def __init__(self, shared: dict[str, int], own: list[dict[str, int]]):
+    def __init__(self, shared: dict[str, tuple], floor: float, own: list[dict[str, int]]):
         self.shared: dict[str, float] = {}
         self.shared_rest: dict[str, float] = {}
-        tables: dict[int, dict[str, int]] = {SHARED_ORDER: shared}
-        for k in range(SHARED_ORDER - 1, 0, -1):  # types before a sequence, not its tokens
-            lower: dict[str, int] = {}
-            for g in tables[k + 1]:
-                s = g[-k:]
-                lower[s] = lower.get(s, 0) + 1
-            tables[k] = lower
-        self.floor = 1.0 / (len(tables[1]) + 1)
-        for k in range(1, SHARED_ORDER + 1):
-            self._add(tables[k], self.shared, self.shared_rest, self._shared, k)
+        self.floor = floor
+        for g in sorted(shared, key=len):
+            n, total, types = shared[g]
+            if total:
+                rest = self.shared_rest[g[:-1]] = DISCOUNT * types / total
+                if n:
+                    self.shared[g] = (n - DISCOUNT) / total + rest * self._shared(g[1:])
         self.own: list[dict[str, float]] = [{} for _ in own]
         self.own_rest: list[dict[str, float]] = [{} for _ in own]
         for c, grams in enumerate(own):
             for k in range(SHARED_ORDER + 1, ORDER + 1):
                 at = {g: n for g, n in grams.items() if len(g) == k or (len(g) < k and g[0] == START and k == ORDER)}
-                self._add(at, self.own[c], self.own_rest[c], lambda g, c=c: self._own(c, g), k)
-
-    @staticmethod
-    def _add(counts: dict[str, int], probs: dict[str, float], rests: dict[str, float], lower, k: int) -> None:
+                self._add(at, c)
+        # Where neither class holds a sequence the ratio is that of their rests times that of its ending.
+        self.ratio = {g: self._compared(g) for g in self.own[0].keys() | self.own[1].keys()}
+        rests = {h: math.log(self.own_rest[1].get(h, 1.0) / self.own_rest[0].get(h, 1.0)) for h in self.own_rest[0].keys() | self.own_rest[1].keys()}
+        self.rest = {h: x for h, x in rests.items() if x}
+        del self.shared, self.shared_rest, self.own, self.own_rest
+
+    def _add(self, counts: dict[str, int], c: int) -> None:
         total: dict[str, int] = {}
         types: dict[str, int] = {}
         for g, n in counts.items():
             total[g[:-1]] = total.get(g[:-1], 0) + n
             types[g[:-1]] = types.get(g[:-1], 0) + 1
-        new = {g: (n - DISCOUNT) / total[g[:-1]] + DISCOUNT * types[g[:-1]] / total[g[:-1]] * lower(g[1:]) for g, n in counts.items()}
-        probs |= new
-        rests |= {h: DISCOUNT * types[h] / total[h] for h in total}
+        new = {}
+        for g, n in counts.items():
+            p, rest = self._own(c, g[1:])
+            lower = rest * self._shared(_ending(g)) if p is None else p
+            new[g] = (n - DISCOUNT) / total[g[:-1]] + DISCOUNT * types[g[:-1]] / total[g[:-1]] * lower
+        self.own[c] |= new
+        self.own_rest[c] |= {h: DISCOUNT * types[h] / total[h] for h in total}
 
     def _shared(self, g: str) -> float:
+        """The probability by the shared orders: whole only for endings of own sequences."""
         rest = 1.0
         while g:
             p = self.shared.get(g)
@@ -126,23 +156,36 @@ class KneserNey:
             g = g[1:]
         return rest * self.floor
 
-    def _own(self, c: int, g: str) -> float:
+    def _own(self, c: int, g: str) -> tuple[float | None, float]:
+        """The probability by a class's own orders, or None and the weight of the shared one."""
         rest, probs, rests = 1.0, self.own[c], self.own_rest[c]
         while len(g) > SHARED_ORDER or (g and g[0] == START):
             p = probs.get(g)
             if p is not None:
-                return rest * p
+                return rest * p, 0.0
             rest *= rests.get(g[:-1], 1.0)
             g = g[1:]
-        return rest * self._shared(g)
+        return None, rest
+
+    def _compared(self, g: str) -> float:
+        """log p(class 1) - log p(class 0) of a sequence that one of them holds."""
+        (p1, rest1), (p0, rest0) = self._own(1, g), self._own(0, g)
+        both = self._shared(_ending(g)) if p1 is None or p0 is None else 0.0
+        return math.log((rest1 * both if p1 is None else p1) / (rest0 * both if p0 is None else p0))
 
     def evidence(self, word: str) -> float:
         """log p(word | class 1) - log p(word | class 0), above the margin and up to the bound."""
         padded = START + word + END
-        total = 0.0
+        total, ratio, rest = 0.0, self.ratio.get, self.rest.get
         for i in range(2, len(padded) + 1):
-            g = padded[max(0, i - ORDER) : i]
-            total += math.log(self._own(1, g) / self._own(0, g))
+            k = max(0, i - ORDER)
+            while i - k > SHARED_ORDER or k == 0:
+                x = ratio(padded[k:i])
+                if x is not None:
+                    total += x
+                    break
+                total += rest(padded[k : i - 1], 0.0)
+                k += 1
         return max(0.0, min(MOST, total) - MARGIN)
 
 
@@ -199,13 +242,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("text"))
     sample = texts.join(F.broadcast(chosen), F.col("_i") == F.col("_l"))
     kept_out = F.pmod(F.xxhash64(F.concat(F.lit("curve:"), F.col("_i").cast("string"))), F.lit(HELD)) == 0
-    own_rows = _counted(sample.where(~kept_out).select("kind", "text"), range(SHARED_ORDER + 1, ORDER + 1), 2).toArrow()
+    own_rows = _counted(sample.where(~kept_out).select("kind", "text"), range(SHARED_ORDER + 1, ORDER + 1)).toArrow()
     own: list[dict[str, int]] = [{}, {}]
     for kind, gram, n in zip(*(own_rows.column(c).to_pylist() for c in ("kind", "gram", "n")), strict=True):
         own[kind][gram] = n
-    every = _counted(texts.select(F.lit(0).alias("kind"), "text"), range(SHARED_ORDER, SHARED_ORDER + 1), 3)
-    rows = every.orderBy(F.desc("n"), "gram").limit(MAX_SHARED).toArrow()
-    model = KneserNey(dict(zip(rows.column("gram").to_pylist(), rows.column("n").to_pylist(), strict=True)), own)
+    shared, floor = _shared_counts(texts, {_ending(g) for grams in own for g in grams})
+    model = KneserNey(shared, floor, own)
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
