@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm import decontamination, jaccard_join, mixing, sharding, toxicity
-from rivulet.llm.common import checkpoint, read
+from rivulet.llm.common import checkpoint, n_words, read
 from rivulet.llm.queries import SHARD_BYTES, WEIGHTS
 
 TOXIC = 0.3
@@ -23,10 +23,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays, and every document without shingles or an id."""
+    """The document with the smallest id of each component stays, and every row without shingles or an id.
+
+    Rows with shingles that repeat an id are one document: the first of them by text stays.
+    """
     found = jaccard_join.jaccard_components(docs)
     copies = found.where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    kept = docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    repeated = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    again = kept.join(repeated, F.col("doc_id") == F.col("_again"), "left").withColumn("_again", F.col("_again").isNotNull() & (n_words(F.col("text")) > 0))
+    first = again.where("_again").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("_row"))
+    return again.where("NOT _again").select(*docs.columns).unionByName(first.select("_row.*"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +42,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents without words are in no budget and stay once."""
-    plan = mixing.mix_plan(docs, WEIGHTS)
+    """Each row as often as the mix takes it; rows without words are in no budget and stay once."""
+    plan = mixing.mix_plan(docs, WEIGHTS, carried=True)
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1)
-    plan = plan.select(F.col("doc_id").alias("_id"), times.alias("_times")).dropDuplicates(["_id"])
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    out = plan.withColumn("_times", times).where("_times > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,24 +60,26 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float = 1.0, cap
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights: list[int], *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", quality: Column | None = None, share: float = 1.0, seed: int = 17) -> DataFrame:
+def mix_plan(docs: DataFrame, weights: list[int], *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", quality: Column | None = None, share: float = 1.0, seed: int = 17, carried: bool = False) -> DataFrame:
     """What the mix takes of each document: (id, size, source_size, target, taken), all in words.
 
     taken is a multiple of size: whole documents, at most MAX_EPOCHS times. The document that the
     budget ends in is taken if that brings its source nearer to its target. A null text has size 0
     and is never taken; a null source is a source; equal keys are ordered by id and size, and
     repeated rows are documents of their own; an empty table gives no rows; other columns are
-    not read.
+    not read, unless the rows are carried: then each is beside its own plan, as a struct `row`, and
+    rows of equal key, id and size are ordered by a hash of all columns.
     """
     rows = docs.select(
         F.col(id_col).alias("_id"),
         F.col(source_col).cast("string").alias("source"),
         n_words(F.col(text_col)).alias("size"),
         (-F.log(uniform(F.col(id_col), seed)) / (text_quality(F.col(text_col)) if quality is None else quality)).alias("_key"),
+        *([F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("_tie")] if carried else []),
     )
     # exp(-key) is in (0, 1) and falls as the key grows: equal steps of it are the buckets.
     rows = rows.withColumn("_bucket", F.floor((1.0 - F.exp(-F.col("_key"))) * BUCKETS).cast("int"))
-    rows = checkpoint(rows)  # a few dozen bytes a document: the texts are read once
+    rows = checkpoint(rows)  # a few dozen bytes a document, if rows aren't carried: the texts are read once
     buckets = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, share)
     targets = targets.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -91,10 +93,10 @@ def mix_plan(docs: DataFrame, weights: list[int], *, id_col: str = "doc_id", sou
     small = plan.count() <= BROADCAST_SOURCES
     rows = rows.join(F.broadcast(plan) if small else plan, rows["source"].eqNullSafe(plan["_s"])).drop("_s")
     edge = rows.where(F.col("_bucket") == F.col("_end"))
-    run = Window.partitionBy("source").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("source").orderBy("_key", "_id", "size", *(["_tie"] if carried else [])).rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("_at", F.col("_base") + F.coalesce(F.sum("size").over(run), F.lit(0)))
     edge = edge.withColumn("_more", (F.col("_at") + F.col("size") / 2 <= F.col("_rest")).cast("long"))
     rest = rows.where(F.col("_end").isNull() | (F.col("_bucket") != F.col("_end"))).withColumn("_more", (F.col("_end").isNotNull() & (F.col("_bucket") < F.col("_end"))).cast("long"))
-    columns = ["_id", "size", "source_size", "target", "_epochs", "_more"]
+    columns = ["_id", "size", "source_size", "target", "_epochs", "_more", *(["row"] if carried else [])]
     both = rest.select(columns).unionByName(edge.select(columns))
-    return both.select(F.col("_id").alias(id_col), "size", "source_size", "target", ((F.col("_epochs") + F.col("_more")) * F.col("size")).alias("taken"))
+    return both.select(F.col("_id").alias(id_col), "size", "source_size", "target", ((F.col("_epochs") + F.col("_more")) * F.col("size")).alias("taken"), *(["row"] if carried else []))

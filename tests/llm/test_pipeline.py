@@ -1,10 +1,12 @@
 """Each stage of the pipeline against a plain version of its decision, on its own input."""
 
+from collections import Counter
+
 import corpus_pipeline
-from rivulet.llm import toxicity
+from rivulet.llm import mixing, toxicity
 from rivulet.llm.common import checkpoint, read
 
-from .data import SF
+from .data import SF, docs
 from .test_decontamination import brute as leaks
 from .test_jaccard_join import brute as components
 
@@ -41,3 +43,19 @@ def test_stages(spark):
             want = set(text)
         assert set(kept[name][1]) == want, name
     assert sorted(kept["sharding"][0]) == sorted(kept["sharding"][1])
+
+
+def test_null_and_repeated_ids(spark):
+    """Each row is mixed by its own plan, and one row of a repeated id stays in the near-copy stage."""
+    texts = [f"{'a b c ' * (i % 7 + 1)}{'9' * (i % 11)} {i}" for i in range(80)] + ["", None]
+    ids = [None if i % 2 else (7 if i % 4 else i) for i in range(80)] + [None, 7]
+    d = docs(spark, texts, sources=["x" if i < 60 else "y" for i in range(82)], ids=ids)
+    plan = sorted(((r.doc_id, r.size, r.taken) for r in mixing.mix_plan(d, corpus_pipeline.WEIGHTS).collect()), key=str)
+    want = Counter((i, size) for i, size, taken in plan for _ in range(taken // size if size else 1))
+    runs = [corpus_pipeline.mix_sources(spark, x, SF).collect() for x in (d, d.repartition(5))]
+    assert Counter((r.doc_id, len((r.text or "").split())) for r in runs[0]) == want
+    assert Counter(runs[0]) == Counter(runs[1])
+    words = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(3)]
+    d = docs(spark, [words[0], words[0], words[1], words[1], words[2], None, None], ids=[4, 4, None, None, 4, 4, 6])
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, d, SF).collect()), key=str)
+    assert got == sorted([(4, words[0]), (None, words[1]), (None, words[1]), (4, None), (6, None)], key=str)
