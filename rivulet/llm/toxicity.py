@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches
+from .common import checkpoint, release, small_batches
 
 #: Characters of the highest order and of the highest shared order.
 ORDER, SHARED_ORDER = 6, 4
@@ -125,8 +125,9 @@ class KneserNey:
             for k in range(SHARED_ORDER + 1, ORDER + 1):
                 at = {g: n for g, n in grams.items() if len(g) == k or (len(g) < k and g[0] == START and k == ORDER)}
                 self._add(at, c)
+            grams.clear()  # the counts are used up
         # Where neither class holds a sequence the ratio is that of their rests times that of its ending.
-        self.ratio = {g: self._compared(g) for g in self.own[0].keys() | self.own[1].keys()}
+        self.ratio = {g: self._compared(g) for probs in self.own for g in probs}
         rests = {h: math.log(self.own_rest[1].get(h, 1.0) / self.own_rest[0].get(h, 1.0)) for h in self.own_rest[0].keys() | self.own_rest[1].keys()}
         self.rest = {h: x for h, x in rests.items() if x}
         del self.shared, self.shared_rest, self.own, self.own_rest
@@ -244,8 +245,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kept_out = F.pmod(F.xxhash64(F.concat(F.lit("curve:"), F.col("_i").cast("string"))), F.lit(HELD)) == 0
     own_rows = _counted(sample.where(~kept_out).select("kind", "text"), range(SHARED_ORDER + 1, ORDER + 1)).toArrow()
     own: list[dict[str, int]] = [{}, {}]
-    for kind, gram, n in zip(*(own_rows.column(c).to_pylist() for c in ("kind", "gram", "n")), strict=True):
-        own[kind][gram] = n
+    for batch in own_rows.to_batches(max_chunksize=10_000):
+        for kind, gram, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "gram", "n")), strict=True):
+            own[kind][gram] = n
+    del own_rows
+    release(docs.sparkSession)  # the driver's memory is small beside the counts
     shared, floor = _shared_counts(texts, {_ending(g) for grams in own for g in grams})
     model = KneserNey(shared, floor, own)
     given = docs.sparkSession.sparkContext.broadcast(model)
