@@ -2,10 +2,10 @@
 
 Sets are dealt into bands of sizes. Two sets of Jaccard similarity t or more whose sizes end in
 band i differ in at most k_i = 2 r_i (1 - t) / (1 + t) features, r_i being the band's largest
-size. The feature domain is cut into n1 parts of two pieces each; a signature is a part with all
-but one of its pieces, hashed over the features that lie there. With n1 > k_i / 2 parts, some
-part of two similar sets differs in one piece at most, so they share a signature. A set also
-signs for the next band if a similar set can lie there.
+size. The feature domain is cut into n1 parts of n2 pieces each; a signature is a part and one of
+the subsets of its pieces that leave out a single one, hashed over the features that lie there.
+With n1 > k_i / 2 parts, some part of two similar sets differs in one piece at most, so they share
+a signature. A set also signs for the next band if a similar set can lie there.
 
 Three things keep the signatures selective and the join exact:
   - Features of very many sets (found by partial counts; any choice is exact) are left out of the
@@ -15,10 +15,12 @@ Three things keep the signatures selective and the join exact:
     that also signs each feature, and one with at most k_i signs over the full domain.
   - Sets are joined as classes of equal sets.
   - A signature's sets are first compared with its smallest class only. Where that leaves them in
-    several components, all pairs across components are compared, so no link between components
-    is lost and groups of near copies never meet pair by pair.
+    several components, pairs across components are compared, each where its first common signature
+    is (the most shared one comes first), so no link between components is lost, groups of near
+    copies never meet pair by pair, and a pair doesn't come once for each signature that it shares.
 A pair is ruled out by parity sketches first (their difference never exceeds that of the sets);
-what is left is decided on the full sets.
+what is left is decided on the full sets. Features and classes are 64-bit hashes that are taken
+for what they stand for: two of 10^8 different sets are one class with a chance of 3 in 10,000.
 """
 
 from __future__ import annotations
@@ -28,14 +30,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _MIX, SHINGLE_WORDS, checkpoint, mixed, release, shingle_sets, small_batches
 from .components import connected_components
 
 #: Ratio of the sizes of a band, pieces of a part, and the slack of the number of parts.
-BAND, PIECES, SLACK = 1.5625, 2, 0.35
+BAND, PIECES, SLACK = 1.5625, 3, 0.2
 #: A feature that so many sets hold (as far as partial counts tell) is left out; at most so many are.
 FREQUENT, MOST_FREQUENT, LOCAL = 64, 1 << 18, 2
 #: Features that a task gathers before it counts or sends them.
@@ -49,6 +51,8 @@ BYTES_PER_PART = 1 << 20
 SIG_BYTES = 5
 #: Words of the parity sketch that is compared inside the join.
 WORDS = 8
+#: Signatures of a class that are carried along to find a pair's first common one.
+CARRIED = 16
 
 
 def _bands() -> np.ndarray:
@@ -89,6 +93,12 @@ def _words(features: np.ndarray) -> list[int]:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
+def _node(features: np.ndarray) -> int:
+    """A 64-bit hash of a set."""
+    with np.errstate(over="ignore"):
+        return int(mixed(mixed(features).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(features)) * _MIX)[0].astype(np.int64))
+
+
 def _similar(x: int, y: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (x + y - both)
 
@@ -126,6 +136,11 @@ def _parts(features: np.ndarray, tag: int, n1: int, n2: int, spared: int, domain
         return mixed(sums + mixed(name * _MIX)), count
 
 
+def guaranteed(n1: int, k: int) -> int:
+    """How many signatures two sets share that differ in k features at most: fewest if each part has its share of them."""
+    return n1 * PIECES - k * (PIECES - 1) if k <= n1 else max(0, 2 * n1 - k)
+
+
 def signatures(features: np.ndarray, frequent: Frequent, percent: int) -> np.ndarray:
     """The signatures of one set."""
     n = len(features)
@@ -143,8 +158,7 @@ def signatures(features: np.ndarray, frequent: Frequent, percent: int) -> np.nda
         n1 = (k + int(k * SLACK) + 3) // 2
         h, count = _parts(rare, tag, n1, PIECES, 1, 0)
         out.append(h[count > 0])
-        # A difference spoils the signatures of a part's other pieces only, so a similar set shares all but so many.
-        if (count == 0).sum() >= n1 * PIECES - k * (PIECES - 1):
+        if (count == 0).sum() >= guaranteed(n1, k):  # all that a similar set must share may be empty ones
             with np.errstate(over="ignore"):
                 out.append(mixed(rare[: k + 1] * _MIX + np.uint64(tag)))
             if len(rare) <= k:
@@ -217,8 +231,7 @@ def shingle_classes(docs: DataFrame, id_col: str, text_col: str, width: int) ->
             nodes, sketches, words = [], [], []
             for a, b in zip(at[:-1], at[1:], strict=True):
                 own = h[a:b]
-                with np.errstate(over="ignore"):
-                    node = int(mixed(mixed(own).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a) * _MIX)[0].astype(np.int64)) if b > a else None
+                node = _node(own) if b > a else None
                 nodes.append(node)
                 sketches.append(_sketch(own) if b > a else None)
                 words.append(_words(own) if b > a else None)
@@ -254,13 +267,12 @@ def shared_signatures(docs: DataFrame, text_col: str, width: int, percent: int,
         for held in _gathered(sets()):
             sigs, owners, done = [], [], set()
             for own in held:
-                with np.errstate(over="ignore"):
-                    node = mixed(mixed(own).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)) * _MIX)[0]
-                if int(node) not in done:
-                    done.add(int(node))
+                node = _node(own)
+                if node not in done:
+                    done.add(node)
                     s = signatures(own, common, percent)
                     sigs.append(s)
-                    owners.append(np.full(len(s), node, np.uint64))
+                    owners.append(np.full(len(s), node, np.int64).view(np.uint64))
             sig, node = np.concatenate(sigs), np.concatenate(owners)
             order = np.argsort(sig, kind="stable")
             sig, node = sig[order], node[order]
@@ -328,7 +340,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, at = shingle_sets(batch.column(1).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["_n", "features"])
+            own = [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            # Rows that share an id may hold other texts than the class's.
+            right = pa.array([len(x) > 0 and _node(x) == n for x, n in zip(own, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in own], pa.binary())], names=["_n", "features"]).filter(right)
 
     full = texts.mapInArrow(sets, "_n long, features binary").dropDuplicates(["_n"])
 
@@ -351,7 +366,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = SHINGLE_
     Two documents link when 100 * intersection >= percent * union of their shingle sets; the
     component is the smallest id reachable by links. Null, empty and blank texts have no shingles
     and no links; null ids stay null, with their component's smallest id that isn't; repeated rows
-    give repeated rows; an empty table gives no rows; other columns are not read.
+    give repeated rows, and rows that share an id but not a text link each by its own text; an
+    empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -372,15 +388,21 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = SHINGLE_
     release(spark)
     # Where a signature's classes are still apart, they are compared across components.
     labelled = shared.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    apart = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("sig")
-    apart = checkpoint(labelled.join(apart, "sig", "left_semi"))
+    apart = labelled.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high").select("sig", "size")
+    # A pair meets at its first common signature in one order for all. None of those carried along
+    # that come before it is common, so a pair that has one in common has met already.
+    order = Window.partitionBy("node").orderBy(F.desc("size"), "sig")
+    apart = labelled.join(apart, "sig").select("sig", "node", "c", "size").distinct()
+    apart = apart.withColumn("place", F.row_number().over(order)).withColumn("first", F.collect_list(F.when(F.col("place") <= CARRIED, F.col("sig"))).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    apart = checkpoint(apart.select("sig", "node", "c", "first"))
     info = classes.select("node", "n", *[F.get("words", k).alias(f"w{k}") for k in range(WORDS)])
     apart = apart.join(info, "node")
     x, y = (apart.select(*[F.col(c).alias(c if c == "sig" else f"{side}{c}") for c in apart.columns]) for side in "xy")
     differ = sum((F.bit_count(F.col(f"xw{k}").bitwiseXOR(F.col(f"yw{k}"))) for k in range(WORDS)), F.lit(0))
     total = F.col("xn") + F.col("yn")
     possible = (F.least("xn", "yn") * 100 >= F.greatest("xn", "yn") * percent) & (differ * (100 + percent) <= total * (100 - percent))
-    across = x.join(y, (x["sig"] == y["sig"]) & (F.col("xnode") < F.col("ynode")) & (F.col("xc") != F.col("yc")) & possible)
+    new = ~F.arrays_overlap("xfirst", "yfirst")
+    across = x.join(y, (x["sig"] == y["sig"]) & (F.col("xnode") < F.col("ynode")) & (F.col("xc") != F.col("yc")) & possible & new)
     across = across.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct()
     second = _verified(checkpoint(across), classes, docs, id_col, text_col, width, percent)
     if not second.isEmpty():

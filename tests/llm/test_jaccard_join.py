@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from rivulet.llm import jaccard_join
@@ -93,3 +94,42 @@ def test_real_rows_in_reverse(spark):
 
 def test_empty_table(spark):
     assert jaccard_join.jaccard_components(docs(spark, [])).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    """Each text links by itself: the link of 3 is with the other text of id 1."""
+    rng = random.Random(8)
+    x, y = ([f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in "xy")
+    texts = [" ".join(w) for w in (x, y, edited(rng, x, 2), edited(rng, y, 2))]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(docs(spark, texts, ids=[1, 1, 2, 3])).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def test_group_of_unlike_members(spark, monkeypatch):
+    """Copies of one text, edited until most of them link with few others: the pairs that meet are few more than the pairs there are."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(edited(rng, base, rng.choice([4, 8, 9, 10, 12, 16]))) for _ in range(120)]
+    met = []
+    verified = jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, *a: met.append(pairs.count()) or verified(pairs, *a))
+    got = check(spark, texts)
+    assert 1 < len({c for _, c in got.values()}) < 120
+    assert met[1] <= 120 * 119 / 2
+
+
+@pytest.mark.parametrize("percent", [70, 80, 95])
+def test_signatures_of_similar_sets(percent):
+    """Similar sets share at least as many signatures as is guaranteed; both kinds of fallback included."""
+    rng = np.random.default_rng(percent)
+    for _ in range(300):
+        n = int(rng.integers(1, 200))
+        own = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        cut = rng.random(len(own)) >= rng.choice([0.02, 0.05, 0.1])
+        other = np.unique(np.concatenate([own[cut], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 20))).astype(np.uint64)]))
+        both = len(np.intersect1d(own, other))
+        if not 0 < both < len(own) + len(other) - both or 100 * both < percent * (len(own) + len(other) - both):
+            continue
+        some = own[rng.random(len(own)) < rng.choice([0, 0.5, 0.95])]
+        common = jaccard_join.Frequent(some) if len(some) else (lambda h: np.zeros(len(h), bool))
+        assert len(np.intersect1d(*(jaccard_join.signatures(s, common, percent) for s in (own, other))))
