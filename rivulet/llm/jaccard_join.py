@@ -274,6 +274,8 @@ def shared_signatures(docs: DataFrame, text_col: str, width: int, percent: int,
                     sigs.append(s)
                     owners.append(np.full(len(s), node, np.int64).view(np.uint64))
             sig, node = np.concatenate(sigs), np.concatenate(owners)
+            if not len(sig):  # sets so small that only equal ones are similar
+                continue
             order = np.argsort(sig, kind="stable")
             sig, node = sig[order], node[order]
             start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])

@@ -92,6 +92,10 @@ def test_real_rows_in_reverse(spark):
     check(spark, [r.text for r in rows], [1000 - r.doc_id for r in rows])
 
 
+def test_texts_without_signatures(spark):
+    assert check(spark, ["one", "one two", None, "one", "three"])[3] == (1, 0)
+
+
 def test_empty_table(spark):
     assert jaccard_join.jaccard_components(docs(spark, [])).count() == 0
 
