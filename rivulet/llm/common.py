@@ -62,6 +62,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
 
+def free_prefix(*frames: DataFrame) -> str:
+    """A prefix that no column of the frames begins with (names don't differ by case)."""
+    out = "_"
+    while any(c.lower().startswith(out) for df in frames for c in df.columns):
+        out = f"_x{out}"
+    return out
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, checkpoint
+from .common import SHINGLE_WORDS, checkpoint, free_prefix
 
 #: At similarity 0.8 two fingerprints differ in about 10 of 64 bits, in more than 22 with a chance below 1 in 20,000.
 BITS, RADIUS = 64, 22
@@ -140,5 +140,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col:
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that leak no benchmark item; all columns are kept, and rows without an id go only with their likes."""
-    leaks = find_leaks(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(leaks, F.col(id_col).eqNullSafe(F.col("_leak")), "left_anti")
+    leak = f"{free_prefix(docs)}leak"
+    leaks = find_leaks(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias(leak)).distinct()
+    return docs.join(leaks, F.col(f"`{id_col}`").eqNullSafe(F.col(leak)), "left_anti")

@@ -70,12 +70,13 @@ def mix_plan(docs: DataFrame, weights: list[int], *, id_col: str = "doc_id", sou
     not read, unless the rows are carried: then each is beside its own plan, as a struct `row`, and
     rows of equal key, id and size are ordered by a hash of all columns.
     """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(
         F.col(id_col).alias("_id"),
         F.col(source_col).cast("string").alias("source"),
         n_words(F.col(text_col)).alias("size"),
         (-F.log(uniform(F.col(id_col), seed)) / (text_quality(F.col(text_col)) if quality is None else quality)).alias("_key"),
-        *([F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("_tie")] if carried else []),
+        *([F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("_tie")] if carried else []),
     )
     # exp(-key) is in (0, 1) and falls as the key grows: equal steps of it are the buckets.
     rows = rows.withColumn("_bucket", F.floor((1.0 - F.exp(-F.col("_key"))) * BUCKETS).cast("int"))
@@ -97,6 +98,6 @@ def mix_plan(docs: DataFrame, weights: list[int], *, id_col: str = "doc_id", sou
     edge = edge.withColumn("_at", F.col("_base") + F.coalesce(F.sum("size").over(run), F.lit(0)))
     edge = edge.withColumn("_more", (F.col("_at") + F.col("size") / 2 <= F.col("_rest")).cast("long"))
     rest = rows.where(F.col("_end").isNull() | (F.col("_bucket") != F.col("_end"))).withColumn("_more", (F.col("_end").isNotNull() & (F.col("_bucket") < F.col("_end"))).cast("long"))
-    columns = ["_id", "size", "source_size", "target", "_epochs", "_more", *(["row"] if carried else [])]
-    both = rest.select(columns).unionByName(edge.select(columns))
+    picks = ["_id", "size", "source_size", "target", "_epochs", "_more", *(["row"] if carried else [])]
+    both = rest.select(picks).unionByName(edge.select(picks))
     return both.select(F.col("_id").alias(id_col), "size", "source_size", "target", ((F.col("_epochs") + F.col("_more")) * F.col("size")).alias("taken"), *(["row"] if carried else []))

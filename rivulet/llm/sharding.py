@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, free_prefix
 
 HASH_BITS, FIRST_BITS, MORE_BITS = 60, 16, 8
 #: Directories of at most so many shards (about 60 bytes each) are broadcast; larger ones are joined by a shuffle.
@@ -66,26 +66,28 @@ def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
     """
     named = ["shard_depth", "shard_prefix", "shard_bytes", "shard_oversize"]
     docs = docs.drop(*named)
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
-    sizes = checkpoint(docs.select(key_hash(F.col(id_col), F.col(text_col)).alias("_h"), size.alias("_bytes")).groupBy("_h").agg(F.sum("_bytes").alias("_bytes")))
+    x = free_prefix(docs)
+    key = key_hash(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    size = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long")
+    sizes = checkpoint(docs.select(key.alias("_h"), size.alias("_bytes")).groupBy("_h").agg(F.sum("_bytes").alias("_bytes")))
     large = sizes.where(F.col("_bytes") > limit).select(F.lit(HASH_BITS).alias("depth"), F.col("_h").alias("prefix"), F.col("_bytes").alias("shard_bytes"), F.lit(True).alias("shard_oversize"))
     rows = sizes.where(F.col("_bytes") <= limit)
     found = checkpoint(directory(rows, limit).withColumn("shard_oversize", F.lit(False)).unionByName(large))
+    shard_of = F.struct(F.col("depth").alias("shard_depth"), F.col("prefix").alias("shard_prefix"), "shard_bytes", "shard_oversize")
     by_depth = {r["depth"]: r["count"] for r in found.groupBy("depth").count().collect()}  # at most HASH_BITS + 1 rows
-    out = docs.withColumn("_h", key_hash(F.col(id_col), F.col(text_col)))
+    out = docs.withColumn(f"{x}h", key)
+    # A document lies in one shard, but an oversize one also under another: the deepest is its own.
+    depths = F.array(*[F.lit(int(d)) for d in sorted(by_depth)]).cast("array<int>")
     if sum(by_depth.values()) <= BROADCAST_SHARDS:
-        # One lookup a depth, each in a broadcast table; the deepest comes first, as an oversize document lies under a shard too.
-        hits = []
-        for d in sorted(by_depth, reverse=True):
-            one = found.where(F.col("depth") == d).select(F.col("prefix").alias(f"_p{d}"), F.struct(F.col("depth").alias("shard_depth"), F.col("prefix").alias("shard_prefix"), "shard_bytes", "shard_oversize").alias(f"_s{d}"))
-            out = out.join(F.broadcast(one), _prefix(F.col("_h"), d) == F.col(f"_p{d}"), "left")
-            hits.append(F.col(f"_s{d}"))
-        shard_of = F.coalesce(*hits) if hits else F.lit(None).cast("struct<shard_depth int, shard_prefix long, shard_bytes long, shard_oversize boolean>")
-        out = out.withColumn("_s", shard_of)
+        # The directory is one small map, looked up at each depth that it has.
+        entry = F.struct(F.concat_ws(":", "depth", "prefix").alias("at"), shard_of.alias("shard"))
+        table = F.broadcast(found.agg(F.map_from_entries(F.collect_list(entry)).alias(f"{x}map")))
+        at = lambda d: F.concat_ws(":", d, F.call_function("shiftright", F.col(f"{x}h"), F.lit(HASH_BITS) - d))
+        hits = F.filter(F.transform(depths, lambda d: F.try_element_at(F.col(f"{x}map"), at(d))), lambda s: s.isNotNull())
+        out = out.crossJoin(table).withColumn(f"{x}s", F.try_element_at(hits, F.lit(-1)))  # one row
     else:
-        at = sizes.select("_h", F.explode(F.array(*[F.lit(int(d)) for d in sorted(by_depth)])).alias("_depth"))
-        at = at.withColumn("_p", F.expr(f"shiftright(_h, {HASH_BITS} - _depth)"))
-        at = at.join(found, (F.col("_depth") == F.col("depth")) & (F.col("_p") == F.col("prefix")))
-        at = at.groupBy("_h").agg(F.max(F.struct(F.col("depth").alias("shard_depth"), F.col("prefix").alias("shard_prefix"), "shard_bytes", "shard_oversize")).alias("_s"))
-        out = out.join(at, "_h", "left")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"_s.{c}").alias(c) for c in named])
+        of = sizes.select("_h", F.explode(depths).alias("_depth")).withColumn("_p", F.expr(f"shiftright(_h, {HASH_BITS} - _depth)"))
+        of = of.join(found, (F.col("_depth") == F.col("depth")) & (F.col("_p") == F.col("prefix")))
+        of = of.groupBy(F.col("_h").alias(f"{x}k")).agg(F.max(shard_of).alias(f"{x}s"))
+        out = out.join(of, F.col(f"{x}h") == F.col(f"{x}k"), "left")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{x}s.{c}").alias(c) for c in named])

@@ -2,11 +2,13 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from rivulet.llm import mixing, toxicity
 from rivulet.llm.common import checkpoint, read
 
-from .data import SF, docs
+from .data import AWKWARD, SF, docs
 from .test_decontamination import brute as leaks
 from .test_jaccard_join import brute as components
 
@@ -59,3 +61,32 @@ def test_null_and_repeated_ids(spark):
     d = docs(spark, [words[0], words[0], words[1], words[1], words[2], None, None], ids=[4, 4, None, None, 4, 4, 6])
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, d, SF).collect()), key=str)
     assert got == sorted([(4, words[0]), (None, words[1]), (None, words[1]), (4, None), (6, None)], key=str)
+
+
+CLASH = {"_h": "h", "_s": "s", "_p0": "p", "_leak": "l", "_id": "i", "_copy": "c", "_score": "0.9", "_again": "a", "_row": "r", "_times": "t", "row": "w", "_x_h": "y", "a.b": "d", "size": "z", "key": "k"}
+
+
+def clashing(spark, texts, ids):
+    d = docs(spark, texts, ids=ids).drop("_h", "size")
+    return d.withColumns({c: F.concat(F.lit(f"{v}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("-"), F.length(F.coalesce("text", F.lit("")))) for c, v in CLASH.items()})
+
+
+def test_clashing_columns_keep_their_values(spark):
+    words = [" ".join(f"w{i}x{k}" for k in range(30 + i)) for i in range(12)]
+    d = checkpoint(clashing(spark, [*words, None, "", " ", words[0], words[0]], [*range(12), 12, None, None, 12, 0]))
+    given = Counter(d.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, SF)
+        assert out.columns[: len(d.columns)] == d.columns, name
+        got = Counter(out.select([F.col(f"`{c}`") for c in d.columns]).collect())
+        assert got and set(got) <= set(given), name
+        if name in ("toxicity", "benchmark_decontamination", "sharding"):
+            assert got == given, name
+
+
+def test_empty_and_awkward_tables(spark):
+    for texts in ([], AWKWARD):
+        d = clashing(spark, texts, [None if i % 5 == 4 else i // 2 for i in range(len(texts))])
+        for _, stage in corpus_pipeline.STAGES:
+            d = checkpoint(stage(spark, d, SF))
+        assert (d.count() > 0) == bool(texts) and set(CLASH) < set(d.columns)
