@@ -1,10 +1,11 @@
 """Secret scans, in DataFrame functions only: known patterns, and entropy over sliding windows.
 
-The entropy part looks at candidate strings (long runs of one alphabet). The counts of the
-characters in a window change by one in and one out at each step, so the sum of c * log2(c)
-over the window is kept up by the counts of those two characters alone, and the entropy is
-log2(width) - sum / width. A candidate whose best window reaches the threshold of its character
-class is reported, unless the allow-list names it.
+The entropy part looks at candidate strings (long runs of one alphabet). A candidate is split
+into character codes once. The counts of the window's characters are kept along the way and
+change by one in and one out at each step, and so does the sum of c * log2(c) over the window;
+the entropy is log2(width) - sum / width. A candidate whose best window reaches the threshold of
+its character class is reported, unless the allow-list names it. All of it takes time in
+proportion to the text.
 """
 
 from __future__ import annotations
@@ -24,47 +25,70 @@ CLASSES = {
     "entropy_base64": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Z])(?=[A-Za-z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{24,}", 24, 3.9),
 }
 #: Strings that are never reported for their entropy: placeholders, and runs of one character.
-ALLOW = [r"(?i)example|sample|dummy|placeholder|changeme", r"^(.)\1+$", r"(?i)^(0123456789abcdef|abcdefghijklmnopqrstuvwxyz)+"]
+ALLOW = [r"(?i)(?<![a-z0-9])(example|sample|dummy|placeholder|changeme)(?![a-z])", r"(?i)^(example|sample|dummy|placeholder|changeme)", r"^(.)\1+$", r"(?i)^(0123456789abcdef|abcdefghijklmnopqrstuvwxyz)+$"]
+#: Codes of the characters of candidates run from that of + to that of z.
+LOW_CODE, CODES = 43, 80
+#: Matches whose places are summed up together.
+MATCHES = 256
 
 
 def _clog(n: Column) -> Column:
     return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
 
-def _count(window: Column, char: Column) -> Column:
-    """Occurrences of a character in a window."""
-    return F.length(window) - F.length(F.replace(window, char, F.lit("")))
-
-
 def best_entropy(text: Column, width: int) -> Column:
-    """The largest Shannon entropy of a window of width characters; texts shorter than that: of the whole text as a window of its own length."""
+    """The largest Shannon entropy of a window of width characters; texts shorter than that: of the whole text as a window of its own length.
+
+    Characters are those of candidates, from + to z by code point.
+    """
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) - LOW_CODE)
     n = F.least(F.lit(width), F.length(text))
-    first = F.substring(text, F.lit(1), n)
-    chars = F.array_distinct(F.filter(F.split(first, ""), lambda c: c != ""))
-    start = F.aggregate(chars, F.lit(0.0), lambda acc, c: acc + _clog(_count(first, c)))
 
-    def step(acc: Column, i: Column) -> Column:
-        window, gone, come = F.substring(text, i, n), F.substring(text, i, F.lit(1)), F.substring(text, i + n, F.lit(1))
-        a, b = _count(window, gone), _count(window, come)
-        now = acc["now"] + F.when(gone == come, F.lit(0.0)).otherwise(_clog(a - 1) - _clog(a) + _clog(b + 1) - _clog(b))
-        return F.struct(now.alias("now"), F.least(acc["least"], now).alias("least"))
+    def first(acc: Column, come: Column) -> Column:
+        had = F.get(acc["counts"], come)
+        counts = F.transform(acc["counts"], lambda v, k: v + F.when(k == come, 1).otherwise(0))
+        return F.struct(counts.alias("counts"), (acc["now"] + _clog(had + 1) - _clog(had)).alias("now"), acc["least"].alias("least"))
+
+    def slid(made: Column) -> Column:
+        """The state is a window's counts alone: Spark copies it at each step."""
+        whole, size = made["codes"], made["n"]
 
-    steps = F.when(F.length(text) > n, F.sequence(F.lit(1), F.length(text) - n)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(steps, F.struct(start.alias("now"), start.alias("least")), step, lambda acc: acc["least"])
-    return F.log2(n.cast("double")) - least / n
+        def step(acc: Column, i: Column) -> Column:
+            gone, come = F.get(whole, i - size), F.get(whole, i)
+            a, b = F.get(acc["counts"], gone), F.get(acc["counts"], come)
+            now = acc["now"] + F.when(gone == come, F.lit(0.0)).otherwise(_clog(a - 1) - _clog(a) + _clog(b + 1) - _clog(b))
+            counts = F.transform(acc["counts"], lambda v, k: v + F.when(k == come, 1).otherwise(0) - F.when(k == gone, 1).otherwise(0))
+            return F.struct(counts.alias("counts"), now.alias("now"), F.least(acc["least"], now).alias("least"))
+
+        zero = F.struct(F.array_repeat(F.lit(0), CODES).alias("counts"), F.lit(0.0).alias("now"), F.lit(float("inf")).alias("least"))
+        begun = F.aggregate(F.slice(whole, F.lit(1), size), zero, first, lambda acc: F.struct(acc["counts"].alias("counts"), acc["now"].alias("now"), acc["now"].alias("least")))
+        steps = F.when(F.size(whole) > size, F.sequence(size, F.size(whole) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.log2(size.cast("double")) - F.aggregate(steps, begun, step, lambda acc: acc["least"]) / size
+
+    return F.get(F.transform(F.array(F.struct(codes.alias("codes"), n.alias("n"))), slid), F.lit(0))
 
 
 def _positions(text: Column, pattern: str, found: Column) -> Column:
-    """array<struct<start, end>> of the matches of a pattern, from their lengths and those of the gaps between them."""
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    """array<struct<start, end>> of the matches of a pattern, from their lengths and those of the gaps between them.
+
+    Sums run over stretches of MATCHES matches, whose own lengths are summed first, so no array
+    grows by one at a time but within a stretch.
+    """
+    # gap and match, in turn
+    lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
+    total = lambda some: F.aggregate(some, F.lit(0), lambda at, x: at + x["g"] + x["m"])
+    kind = "array<struct<start:int,end:int>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["g"]
+        return F.struct((start + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + x["m"]).alias("end")))).alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.element_at(gaps, i))
-        end = start + F.length(F.element_at(found, i))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
+    def places(all_: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / MATCHES).cast("int")), lambda k: F.slice(all_, k * MATCHES + 1, MATCHES))
+        sized = F.transform(F.array(F.transform(blocks, total)), lambda sums: F.transform(blocks, lambda b, k: F.struct(b.alias("b"), F.aggregate(F.slice(sums, F.lit(1), k), F.lit(0), lambda at, x: at + x).alias("at"))))
+        return F.flatten(F.transform(F.get(sized, F.lit(0)), lambda b: F.aggregate(b["b"], F.struct(b["at"].alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])))
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(found)), zero, step, lambda acc: acc["out"])
+    return F.get(F.transform(F.array(lengths), places), F.lit(0))
 
 
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"

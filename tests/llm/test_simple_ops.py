@@ -157,3 +157,25 @@ def test_window_entropy(spark):
         n = min(8, len(t))
         best = max(-sum(w.count(c) / n * math.log2(w.count(c) / n) for c in set(w)) for w in (t[k : k + n] for k in range(len(t) - n + 1)))
         assert got[i] == pytest.approx(best, abs=1e-9)
+
+
+def test_long_runs_and_many_matches(spark):
+    """One run of a million characters, and as many matches, take seconds."""
+    import random
+    import time
+
+    rng = random.Random(4)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1_000_000))
+    many = "token=abcdefgh " * 20_000
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.find_secrets(docs(spark, [run, many, "x" * 1_000_000])).collect()}
+    assert time.time() - began < 60
+    assert [(s.kind, s.start, s.end) for s in got[0].spans] == [("entropy_base64", 0, 1_000_000)]
+    assert [(s.start, s.end) for s in got[1].spans] == [(15 * k, 15 * k + 14) for k in range(20_000)]
+
+
+def test_allow_list(spark):
+    key = "k3J9xQz7Lm2Pw8Rt5Vb1Nc4Y"
+    texts = [f"path/example/{key}", f"0123456789abcdef{key}", "0123456789abcdef" * 2, f"Example{key}", key]
+    got = {r.doc_id: [s.kind for s in r.spans if s.kind.startswith("entropy")] for r in secrets.find_secrets(docs(spark, texts)).collect()}
+    assert got == {0: [], 1: ["entropy_base64"], 2: [], 3: [], 4: ["entropy_base64"]}
