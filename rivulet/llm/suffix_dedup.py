@@ -5,14 +5,18 @@ LENGTH bytes that holds it. Equal windows have equal anchors at equal places, so
 start suffixes of one bucket (same first q bytes) that agree far enough to both sides.
 
 1. Anchors are dealt to buckets by hash. One whose whole surroundings (the bytes that any window
-   over it can reach) also lie in an earlier document settles all its windows at once.
+   over it can reach) also lie in an earlier document settles all its windows at once. Here equal
+   hashes stand for equal bytes: 48 bits of the surroundings, and at least 46 of the bucket.
 2. Only anchors at the ends of repeats are left. Their surroundings are fetched, and each bucket's
    suffixes are ordered by deep-shallow sorting: multikey quicksort over 8-byte characters to a
    shallow depth, then blind tries for the groups that still agree. The LCP array gives how far
    two suffixes agree to the right; their bytes before the anchor, how far to the left; together
    they give the windows that an earlier document holds.
-3. Buckets of very many suffixes are not gathered: their windows are summed up one by one, to the
-   smallest document of each, with partial minima before the shuffle.
+3. Buckets of very many suffixes are not gathered: multikey quicksort goes on over the cluster. The
+   bucket's first document is the pivot. What a suffix shares with it is decided at once; a longer
+   agreement with any other one is only possible among those that leave the pivot at the same
+   place with the same byte, to the right or to the left. These are the next buckets, and each
+   window goes to one of them at most, until they are small enough to be sorted in one place.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _BYTE_CODES, checkpoint, mixed, release, small_batches
@@ -34,8 +38,12 @@ REACH = LENGTH - SEED  # bytes on either side that a window over an anchor can h
 FLUSH = 1 << 21
 #: Bytes of a hash sent besides its bucket's partition, and of the hash of an anchor's surroundings.
 SIG_BYTES, AROUND_BYTES = 5, 6
-#: Suffixes of a bucket that are sorted in one place; larger buckets go window by window.
+#: Suffixes of a bucket that are sorted in one place; larger buckets are split by a pivot.
 MOST_SORTED = 256
+#: Suffixes that a task sorts at once, and those of a partition.
+AT_ONCE, PER_PARTITION = 8192, 100_000
+#: Bytes between the texts of one id.
+GAP = 4 * LENGTH
 #: Bytes hashed at a time; texts are cut into overlapping pieces of this size.
 PIECE = 1 << 19
 _P = 0xD1342543DE82EF95
@@ -48,8 +56,12 @@ def _geometric(ratio: int) -> np.ndarray:
 
 
 _POWERS, _INVERSES = _geometric(_P), _geometric(pow(_P, -1, 1 << 64))
-_ANCHOR = np.dtype([("sig", f"({SIG_BYTES},)u1"), ("around", f"({AROUND_BYTES},)u1"), ("doc", "<i8"), ("pos", "<i4")])
-_SETTLED = np.dtype([("doc", "<i8"), ("pos", "<i4")])
+
+
+def _anchor(wide: bool) -> tuple[np.dtype, np.dtype]:
+    """An anchor, and one that is settled; places need 8 bytes only where an id has several texts."""
+    place = [("doc", "<i8"), ("pos", "<i8" if wide else "<i4")]
+    return np.dtype([("sig", f"({SIG_BYTES},)u1"), ("around", f"({AROUND_BYTES},)u1"), *place]), np.dtype(place)
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -152,18 +164,50 @@ class BlindTrie:
         return out, lcp
 
 
-def deep_shallow_sort(group: np.ndarray, strings: np.ndarray, shallow: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def _quicksorted(group: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The order of rows of words within their groups: multikey quicksort, a step of all groups at a time.
+
+    In a step each open group is parted into what is below, equal to and above the word of its
+    middle row; the equal part goes on with the next word.
+    """
+    n, levels = words.shape
+    order = np.argsort(group, kind="stable")
+    start = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]]) if n else np.empty(0, np.int64)
+    depth = np.zeros(len(start), np.int64)
+    while True:
+        size = np.diff(np.append(start, n))
+        todo = np.flatnonzero((size > 1) & (depth < levels))
+        if not len(todo):
+            return order
+        size = size[todo]
+        which = np.repeat(np.arange(len(todo)), size)
+        at = np.arange(size.sum()) + np.repeat(start[todo] - np.cumsum(size) + size, size)
+        own = words[order[at], depth[todo][which]]
+        pivot = words[order[start[todo] + size // 2], depth[todo]][which]
+        side = np.where(own < pivot, 0, np.where(own == pivot, 1, 2))
+        key = which * 3 + side
+        by = np.argsort(key, kind="stable")
+        order[at] = order[at][by]
+        key = key[by]
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        starts = np.concatenate([np.delete(start, todo), at[new]])
+        depths = np.concatenate([np.delete(depth, todo), depth[todo][key[new] // 3] + (key[new] % 3 == 1)])
+        again = np.argsort(starts)
+        start, depth = starts[again], depths[again]
+
+
+def deep_shallow_sort(group: np.ndarray, strings: np.ndarray, shallow: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Order equally long byte strings within their groups: (order, LCP with the string before, in a group).
 
-    Multikey quicksort takes 8-byte characters, all groups at once, up to the shallow depth;
-    groups that still agree go to blind tries, pairs to the one comparison that a trie of two makes.
+    Multikey quicksort takes 8-byte characters up to the shallow depth; groups that still agree
+    go to blind tries, pairs to the one comparison that a trie of two makes.
     """
     n, width = strings.shape
     wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
     wide[:, :width] = strings
     words = wide.view(">u8").astype(np.uint64)
-    levels = shallow // 8
-    order = np.lexsort((*[words[:, k] for k in range(levels - 1, -1, -1)], group))
+    levels = min(shallow // 8, words.shape[1])
+    order = _quicksorted(group, words[:, :levels])
     lcp = np.zeros(n, np.int64)
     g, w = group[order], words[order]
     same = np.zeros(n, bool)
@@ -205,7 +249,8 @@ def _ends(bucket: np.ndarray, doc: np.ndarray, text: np.ndarray, left: np.ndarra
     text holds REACH bytes before the anchor, the anchor, and REACH bytes after it; left and right
     say how many of them are in the document.
     """
-    order, lcp = deep_shallow_sort(bucket, text[:, REACH + SEED :])
+    order, lcp = deep_shallow_sort(bucket, text[:, REACH:])
+    lcp = lcp - SEED  # below 0: chance has dealt two seeds to one bucket
     bucket, doc, left, right = bucket[order], doc[order], left[order], right[order]
     back = np.zeros((len(order), -(-REACH // 8) * 8), np.uint8)
     back[:, :REACH] = text[order, :REACH][:, ::-1]
@@ -233,8 +278,9 @@ def _ends(bucket: np.ndarray, doc: np.ndarray, text: np.ndarray, left: np.ndarra
     return out_left, out_right
 
 
-def _sampled(docs: DataFrame, parts: int) -> DataFrame:
+def _sampled(texts: DataFrame, parts: int, wide: bool) -> DataFrame:
     """(part, settled, rows): anchors by bucket partition, and settled ones by document."""
+    anchor, place = _anchor(wide)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -249,10 +295,10 @@ def _sampled(docs: DataFrame, parts: int) -> DataFrame:
             known = doc > first  # an earlier document of this batch has the same surroundings
             scaled = (h >> np.uint64(32)) * np.uint64(parts)
             names, kinds, blobs = [], [], []
-            rows = np.empty((~known).sum(), _ANCHOR)
+            rows = np.empty((~known).sum(), anchor)
             rows["sig"] = _big_endian(((scaled & np.uint64(0xFFFFFFFF)) << np.uint64(8) | mixed(h) >> np.uint64(56))[~known], SIG_BYTES)
             rows["around"], rows["doc"], rows["pos"] = _big_endian(around[~known], AROUND_BYTES), doc[~known], pos[~known]
-            settled = np.empty(known.sum(), _SETTLED)
+            settled = np.empty(known.sum(), place)
             settled["doc"], settled["pos"] = doc[known], pos[known]
             for kind, part, data in ((False, (scaled >> np.uint64(32))[~known], rows), (True, mixed(settled["doc"].astype(np.uint64)) % np.uint64(parts), settled)):
                 by = np.argsort(part, kind="stable")
@@ -265,11 +311,11 @@ def _sampled(docs: DataFrame, parts: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(kinds, pa.bool_()), pa.array(blobs, pa.binary())], names=["part", "settled", "rows"])
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, begin, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode("utf-8", "surrogatepass") if text else b""
                 if i is not None and len(raw) >= LENGTH:
                     for at, h, around in anchors(raw):
-                        held.append((np.full(len(at), i, np.int64), at.astype(np.int32), h, around))
+                        held.append((np.full(len(at), i, np.int64), at + begin, h, around))
                         size += len(at)
                         if size >= FLUSH:
                             yield send()
@@ -277,98 +323,203 @@ def _sampled(docs: DataFrame, parts: int) -> DataFrame:
         if held:
             yield send()
 
-    return docs.mapInArrow(sample, "part long, settled boolean, rows binary")
+    return texts.select("_d", "_o", "_t").mapInArrow(sample, "part long, settled boolean, rows binary")
 
 
-def _bucketed(group: pa.Table) -> pa.Table:
+def _bucketed(wide: bool):
     """(doc, pos, bucket): settled anchors have no bucket, those left open have theirs."""
-    part = group.column("part")[0].as_py()
-    kinds, blobs = group.column("settled").to_pylist(), group.column("rows").to_pylist()
-    rows = np.frombuffer(b"".join(b for b, k in zip(blobs, kinds, strict=True) if not k), _ANCHOR)
-    done = np.frombuffer(b"".join(b for b, k in zip(blobs, kinds, strict=True) if k), _SETTLED)
-    sig, around, doc, pos = _number(rows["sig"]), _number(rows["around"]), rows["doc"], rows["pos"]
-    order = np.lexsort((doc, around, sig))
-    sig, around, doc, pos = sig[order], around[order], doc[order], pos[order]
-    if len(sig):
-        new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        start = np.flatnonzero(new)
-        shared = np.maximum.reduceat(doc, start) != np.minimum.reduceat(doc, start)
-        shared = shared[np.cumsum(new) - 1]
-        kind = new.copy()
-        kind[1:] |= around[1:] != around[:-1]
-        settled = doc > doc[np.flatnonzero(kind)][np.cumsum(kind) - 1]
-        several = (np.add.reduceat(kind.astype(np.int64), start) > 1)[np.cumsum(new) - 1]
-        left = shared & several & ~settled
-    else:
-        settled = left = np.zeros(0, bool)
-    bucket = (sig[left] | np.uint64(part << (8 * SIG_BYTES))).view(np.int64)
-    return pa.table({
-        "doc": np.concatenate([done["doc"], doc[settled], doc[left]]),
-        "pos": np.concatenate([done["pos"], pos[settled], pos[left]]),
-        "bucket": pa.concat_arrays([pa.nulls(len(done) + int(settled.sum()), pa.int64()), pa.array(bucket, pa.int64())]),
-    })
-
-
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, low, high): byte ranges covered by LENGTH-byte strings that start in a document with a smaller id.
+    anchor, place = _anchor(wide)
+
+    def of(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
+        kinds, blobs = group.column("settled").to_pylist(), group.column("rows").to_pylist()
+        rows = np.frombuffer(b"".join(b for b, k in zip(blobs, kinds, strict=True) if not k), anchor)
+        done = np.frombuffer(b"".join(b for b, k in zip(blobs, kinds, strict=True) if k), place)
+        sig, around, doc, pos = _number(rows["sig"]), _number(rows["around"]), rows["doc"], rows["pos"]
+        order = np.lexsort((doc, around, sig))
+        sig, around, doc, pos = sig[order], around[order], doc[order], pos[order]
+        if len(sig):
+            new = np.ones(len(sig), bool)
+            new[1:] = sig[1:] != sig[:-1]
+            start = np.flatnonzero(new)
+            shared = np.maximum.reduceat(doc, start) != np.minimum.reduceat(doc, start)
+            shared = shared[np.cumsum(new) - 1]
+            kind = new.copy()
+            kind[1:] |= around[1:] != around[:-1]
+            settled = doc > doc[np.flatnonzero(kind)][np.cumsum(kind) - 1]
+            several = (np.add.reduceat(kind.astype(np.int64), start) > 1)[np.cumsum(new) - 1]
+            left = shared & several & ~settled
+        else:
+            settled = left = np.zeros(0, bool)
+        bucket = (sig[left] | np.uint64(part << (8 * SIG_BYTES))).view(np.int64)
+        return pa.table({
+            "doc": np.concatenate([done["doc"], doc[settled], doc[left]]),
+            "pos": np.concatenate([done["pos"], pos[settled], pos[left]]).astype(np.int64),
+            "bucket": pa.concat_arrays([pa.nulls(len(done) + int(settled.sum()), pa.int64()), pa.array(bucket, pa.int64())]),
+        })
+
+    return of
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, bool]:
+    """(_i, _d, _o, _t) of all rows, then of one row for each text of an id, and whether an id has several rows.
 
-    Ranges may overlap and reach over a text's ends.
+    _o is where a text begins among the texts of its id, which lie apart from each other.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).alias("_t"))
-    rows = _sampled(texts, _n_parts(docs)).groupBy("part").applyInArrow(_bucketed, "doc long, pos int, bucket long")
-    rows = checkpoint(rows)
-    release(docs.sparkSession)
-    settled = rows.where("bucket IS NULL").selectExpr("doc", f"pos - {REACH} AS low", f"pos + {LENGTH} AS high")
-    open_ = rows.where("bucket IS NOT NULL")
-    sizes = open_.groupBy("bucket").count()
-    open_ = open_.join(sizes, "bucket").select("doc", F.struct("pos", "bucket", (F.col("count") > MOST_SORTED).alias("large")).alias("x"))
-    wanted = open_.groupBy("doc").agg(F.collect_list("x").alias("x")).withColumnRenamed("doc", "_w")
-    fetched = texts.join(wanted, F.col("_d") == F.col("_w")).select("_d", "_t", "x")
-
-    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for i, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                padded = bytes(REACH) + raw + bytes(REACH)
-                for x in found:
-                    pos = x["pos"]
-                    if x["large"]:
-                        for start in range(max(0, pos - REACH), min(pos, len(raw) - LENGTH) + 1):
-                            digest = hashlib.blake2b(raw[start : start + LENGTH], digest_size=16).digest()
-                            for column, v in zip(out, (None, i, start, None, None, digest), strict=True):
-                                column.append(v)
-                    else:
-                        for column, v in zip(out, (x["bucket"], i, pos, min(REACH, pos), min(REACH, len(raw) - pos - SEED), padded[pos : pos + 2 * REACH + SEED]), strict=True):
-                            column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["bucket", "doc", "pos", "left", "right", "bytes"])
-
-    fetched = checkpoint(fetched.mapInArrow(surroundings, "bucket long, doc long, pos int, left int, right int, bytes binary"))
-    release(docs.sparkSession)
-
-    def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
-        table = pa.Table.from_batches(held)
-        bucket, doc, pos, left, right = (table.column(c).to_numpy() for c in ("bucket", "doc", "pos", "left", "right"))
-        text = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(-1, 2 * REACH + SEED)
-        to_left, to_right = _ends(bucket, doc, text, left, right)
+    kind = docs.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"ids are whole numbers, not {kind}")
+    rows = docs.select(F.col(id_col).alias("_i"), F.col(id_col).cast("long").alias("_d"), F.col(text_col).alias("_t"))
+    again = checkpoint(rows.where("_d IS NOT NULL").groupBy("_d").count().where("count > 1").select("_d"))
+    if again.isEmpty():
+        rows = rows.withColumn("_o", F.lit(0).cast("long"))
+        return rows, rows, False
+    rows = rows.withColumn("_h", F.xxhash64(F.coalesce("_t", F.lit(""))))
+    upto = Window.partitionBy("_d").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    begin = rows.join(again, "_d", "left_semi").select("_d", "_h", (F.coalesce(F.octet_length("_t"), F.lit(0)) + GAP).alias("n")).distinct()
+    begin = checkpoint(begin.select("_d", "_h", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_o")))
+    alone = rows.join(again, "_d", "left_anti").select("_i", "_d", F.lit(0).cast("long").alias("_o"), "_t")
+    one = rows.join(begin, ["_d", "_h"])
+    single = alone.unionByName(one.dropDuplicates(["_d", "_h"]).select("_i", "_d", "_o", "_t"))
+    return alone.unionByName(one.select("_i", "_d", "_o", "_t")), single, True
+
+
+_OPEN = "bucket long, doc long, pos long, left int, right int, low int, high int, bytes binary"
+
+
+def _open_table(columns: dict[str, np.ndarray], text: np.ndarray) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+    arrays = [pa.array(columns[c], k) for c, k in zip(("bucket", "doc", "pos", "left", "right", "low", "high"), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array([x.tobytes() for x in text], pa.binary())], names=["bucket", "doc", "pos", "left", "right", "low", "high", "bytes"])
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open anchors with the bytes around them; low and high: all windows over an anchor, by how far they reach to its left."""
+    for batch in batches:
+        for i, begin, text, found in zip(*batch.columns, strict=True):
+            raw = text.as_py().encode("utf-8", "surrogatepass")
+            pos = found.values.field(0).to_numpy() - begin.as_py()
+            mine = (pos >= 0) & (pos <= len(raw) - SEED)
+            pos, bucket = pos[mine], found.values.field(1).to_numpy()[mine]
+            padded = np.frombuffer(bytes(REACH) + raw + bytes(REACH), np.uint8)
+            for a in range(0, len(pos), AT_ONCE):
+                at, n = pos[a : a + AT_ONCE], len(pos[a : a + AT_ONCE])
+                columns = {"bucket": bucket[a : a + n], "doc": np.full(n, i.as_py()), "pos": at + begin.as_py(), "left": np.minimum(REACH, at), "right": np.minimum(REACH, len(raw) - at - SEED), "low": np.zeros(n, np.int64), "high": np.full(n, REACH)}
+                yield _open_table(columns, padded[at[:, None] + np.arange(2 * REACH + SEED)])
+
+
+def _columns(table: pa.Table | pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Numbers by name, and the bytes around each anchor."""
+    text = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(-1, 2 * REACH + SEED)
+    return {c: table.column(c).to_numpy() for c in table.schema.names if not c.endswith("bytes")}, text
+
+
+def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, low, high) of what earlier documents hold, in rows that come bucket by bucket."""
+
+    def decided(table: pa.Table) -> pa.RecordBatch:
+        x, text = _columns(table)
+        to_left, to_right = _ends(x["bucket"], x["doc"], text, x["left"], x["right"])
         hit = to_left >= 0
-        yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array((pos - to_left)[hit].astype(np.int32)), pa.array((pos + SEED + to_right)[hit].astype(np.int32))], names=["doc", "low", "high"])
+        return pa.RecordBatch.from_arrays([pa.array(x["doc"][hit]), pa.array((x["pos"] - to_left)[hit]), pa.array((x["pos"] + SEED + to_right)[hit])], names=["doc", "low", "high"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= AT_ONCE:
+            table = pa.Table.from_batches(held)
+            bucket = table.column("bucket").to_numpy()
+            whole = int(np.flatnonzero(bucket == bucket[-1])[0])  # the last bucket may go on
+            if whole:
+                yield decided(table[:whole])
+                held = table[whole:].to_batches()
+    if sum(b.num_rows for b in held):
+        yield decided(pa.Table.from_batches(held))
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """First bytes on which rows agree."""
+    differ = a != b
+    return np.where(differ.any(1), differ.argmax(1), a.shape[1])
+
+
+def _branch(bucket: np.ndarray, side: int, text: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """The bucket of those that agree on so many first bytes."""
+    with np.errstate(over="ignore"):
+        codes = np.where(np.arange(text.shape[1]) < depth[:, None], _BYTE_CODES[text] * _POWERS[: text.shape[1]], np.uint64(0)).sum(1, dtype=np.uint64)
+        return mixed(mixed(bucket.astype(np.int64).view(np.uint64) * np.uint64(4) + np.uint64(side)) + codes + depth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows that a bucket's pivot decides, as rows (doc, pos: low, high) without a bucket, and rows of the next buckets.
+
+    A window is named by how far it reaches to the left of the anchor; low and high say which
+    ones a row is still there for. Those that neither go beyond the agreement with the pivot on
+    the right nor on the left are decided; of the others, those beyond it on the right go to one
+    bucket, the rest to another.
+    """
+    for batch in batches:
+        x, text = _columns(batch)
+        pivot = np.frombuffer(b"".join(batch.column("pivot_bytes").to_pylist()), np.uint8).reshape(text.shape)
+        seed = slice(REACH, REACH + SEED)
+        same = (text[:, seed] == pivot[:, seed]).all(1)
+        after, before = text[:, REACH + SEED :], text[:, :REACH][:, ::-1]
+        right = np.minimum.reduce([_alike(after, pivot[:, REACH + SEED :]), x["right"], x["pivot_right"]]).astype(np.int64)
+        left = np.minimum.reduce([_alike(before, pivot[:, :REACH][:, ::-1]), x["left"], x["pivot_left"]]).astype(np.int64)
+        low, high = x["low"].astype(np.int64), x["high"].astype(np.int64)
+        first, last = np.maximum(low, REACH - right), np.minimum(high, left)
+        hit = same & (first <= last) & (x["doc"] > x["pivot_doc"])
+        if hit.any():
+            n = int(hit.sum())
+            columns = {"bucket": pa.nulls(n, pa.int64()), "doc": x["doc"][hit], "pos": (x["pos"] - last)[hit], "left": np.zeros(n, np.int64), "right": np.zeros(n, np.int64), "low": np.zeros(n, np.int64), "high": (last - first + LENGTH)[hit]}
+            yield _open_table(columns, np.empty((n, 0), np.uint8))
+        branches = (
+            (same, _branch(x["bucket"], 0, after, right + 1), low, np.minimum(high, REACH - 1 - right)),
+            (same, _branch(x["bucket"], 1, before, left + 1), np.maximum.reduce([low, left + 1, REACH - right]), high),
+            (~same, _branch(x["bucket"], 2, text[:, seed], np.full(len(text), SEED)), low, high),
+        )
+        for which, bucket, a, b in branches:
+            go = which & (np.maximum(a, REACH - x["right"]) <= np.minimum(b, x["left"]))
+            if go.any():
+                yield _open_table({"bucket": bucket[go], "low": a[go], "high": b[go], **{c: x[c][go] for c in ("doc", "pos", "left", "right")}}, text[go])
+
+
+def repeated_ranges(texts: DataFrame, wide: bool) -> DataFrame:
+    """(doc, low, high): byte ranges covered by LENGTH-byte strings that start in a document with a smaller id.
 
-    ends = fetched.where("bucket IS NOT NULL").repartition("bucket").mapInArrow(sort_buckets, "doc long, low int, high int")
-    windows = fetched.where("bucket IS NULL").select("bytes", "doc", "pos")
-    first = windows.groupBy("bytes").agg(F.min("doc").alias("first"))
-    large = windows.join(first, "bytes").where(F.col("doc") > F.col("first")).selectExpr("doc", "pos AS low", f"pos + {LENGTH} AS high")
-    return settled.unionByName(ends).unionByName(large)
+    texts holds one row for each text of an id. Ranges may overlap and reach over a text's ends.
+    """
+    spark = texts.sparkSession
+    rows = _sampled(texts, _n_parts(texts), wide).groupBy("part").applyInArrow(_bucketed(wide), "doc long, pos long, bucket long")
+    rows = checkpoint(rows)
+    release(spark)
+    found = rows.where("bucket IS NULL").selectExpr("doc", f"pos - {REACH} AS low", f"pos + {LENGTH} AS high")
+    wanted = rows.where("bucket IS NOT NULL").groupBy(F.col("doc").alias("_w")).agg(F.collect_list(F.struct("pos", "bucket")).alias("x"))
+    fetched = texts.where(F.octet_length("_t") >= LENGTH).join(wanted, F.col("_d") == F.col("_w")).select("_d", "_o", "_t", "x")
+    left = checkpoint(fetched.mapInArrow(_surroundings, _OPEN))
+    release(spark)
+    while not left.isEmpty():
+        sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+        sized = left.join(sizes, "bucket")
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), left.count() // PER_PARTITION)
+        small = sized.where(F.col("size") <= MOST_SORTED).select("bucket", "doc", "pos", "left", "right", "bytes").repartition(n, "bucket").sortWithinPartitions("bucket")
+        found = found.unionByName(checkpoint(small.mapInArrow(_sort_buckets, "doc long, low long, high long")))
+        large = sized.where(F.col("size") > MOST_SORTED)
+        pivots = large.where("doc = least").groupBy("bucket").agg(F.min(F.struct("doc", "pos", "left", "right", "bytes")).alias("pivot"))
+        pivots = pivots.select("bucket", *[F.col(f"pivot.{c}").alias(f"pivot_{c}") for c in ("doc", "left", "right", "bytes")])
+        parted = checkpoint(large.select(*left.columns).join(pivots, "bucket").mapInArrow(_parted, _OPEN))
+        found = found.unionByName(parted.where("bucket IS NULL").selectExpr("doc", "pos AS low", "pos + high AS high"))
+        left = parted.where("bucket IS NOT NULL")
+        release(spark)
+    return found
 
 
 def _merged(ranges: np.ndarray, n: int) -> np.ndarray:
     """Maximal runs of byte ranges, cut to the text."""
     ranges = np.clip(ranges[np.argsort(ranges[:, 0], kind="stable")], 0, n)
+    ranges = ranges[ranges[:, 1] > ranges[:, 0]]
+    if not len(ranges):
+        return ranges
     top = np.maximum.accumulate(ranges[:, 1])
     new = np.ones(len(ranges), bool)
     new[1:] = ranges[1:, 0] > top[:-1]
@@ -380,25 +531,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_bytes, n_removed, n_spans, kept_sha256, removed) of every document; removed holds the maximal runs as (low, high) bytes.
 
     A byte goes if a LENGTH-byte string over it also starts in a document with a smaller id, on
-    the input as it is. Ids are whole numbers and name one text each: rows that share an id are
-    repeats of one document, and none is earlier than another. Rows without an id remove and
-    lose nothing; null texts are empty; an empty table gives no rows; other columns are not read.
+    the input as it is. Ids are whole numbers (others raise a ValueError). Rows that share an id
+    are one document, and none of their texts is earlier than another; each row loses what an
+    earlier document has of its own text. Rows without an id remove and lose nothing; null texts
+    are empty; an empty table gives no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    ranges = repeated_ranges(docs, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("x"))
-    rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.col(id_col).cast("long").alias("_d"))
-    rows = rows.join(ranges, F.col("_d") == F.col("doc"), "left").select("_i", "_t", "x")
+    rows, single, wide = _texts(docs, id_col, text_col)
+    ranges = repeated_ranges(single, wide).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("x"))
+    rows = rows.join(ranges, F.col("_d") == F.col("doc"), "left").select("_i", "_t", "_o", "x")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for text, begin, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 raw = text.encode("utf-8", "surrogatepass") if text else b""
                 runs = np.empty((0, 2), np.int64)
                 if found.is_valid and len(found.values):
                     x = found.values
-                    runs = _merged(np.stack([x.field(0).to_numpy(), x.field(1).to_numpy()], 1).astype(np.int64), len(raw))
+                    runs = _merged(np.stack([x.field(0).to_numpy(), x.field(1).to_numpy()], 1).astype(np.int64) - begin, len(raw))
                 kept, at = [], 0
                 for a, b in runs:
                     kept.append(raw[at:a])

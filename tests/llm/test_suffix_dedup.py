@@ -79,11 +79,34 @@ def test_rows_without_an_id(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (3, 0), (3, 0), (4, 60)]
 
 
+def test_rows_that_share_an_id(spark):
+    """Texts of one id are one document; each row loses what an earlier document has of its own text."""
+    rng = random.Random(5)
+    x, y, z = ("".join(rng.choice("abcdefgh") for _ in range(90)) for _ in "xyz")
+    rows = [(7, x + y), (7, x), (7, None), (7, "short"), (7, x + y), (3, y), (3, None), (9, z + x), (9, y[:60]), (1, z), (1, z), (8, x[:49])]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs(spark, [t for _, t in rows], ids=[i for i, _ in rows])).collect())
+    want = {(7, 180): (90, 1), (9, 180): (180, 1), (9, 60): (60, 1)}
+    assert got == sorted((i, len(t or ""), *want.get((i, len(t or "")), (0, 0))) for i, t in rows)
+    with pytest.raises(ValueError, match="whole numbers"):
+        suffix_dedup.remove_repeats(docs(spark, ["a"]).selectExpr("'k' AS doc_id", "text"))
+
+
+def test_one_passage_in_very_many_documents(spark, monkeypatch):
+    """Large buckets are split by pivots, again and again, and rows stay below a window each."""
+    monkeypatch.setattr(suffix_dedup, "MOST_SORTED", 3)
+    rng = random.Random(6)
+    letters = lambda n, of="ab": "".join(rng.choice(of) for _ in range(n))
+    passage = letters(70, "abcdefghij")
+    texts = [letters(rng.randint(0, 40)) + passage[rng.randint(0, 12) : 70 - rng.randint(0, 12)] + letters(rng.randint(0, 40)) for _ in range(150)]
+    got = check(spark, texts, rng.sample(range(10_000), len(texts)))
+    assert sum(r[1] > 0 for r in got.values()) > 100
+
+
 @pytest.mark.parametrize("letters", [2, 250])
 def test_deep_shallow_sort(letters):
     rng = np.random.default_rng(letters)
-    strings = rng.integers(0, letters, (400, 26)).astype(np.uint8)
-    strings[100:200, :20] = strings[0, :20]
+    strings = rng.integers(0, letters, (400, 50)).astype(np.uint8)
+    strings[100:200, :40] = strings[0, :40]
     strings[200:230] = strings[5]
     group = rng.integers(0, 6, 400)
     order, lcp = suffix_dedup.deep_shallow_sort(group, strings)
@@ -91,5 +114,5 @@ def test_deep_shallow_sort(letters):
     assert rows == sorted((int(g), s.tobytes()) for g, s in zip(group, strings, strict=True))
     for k in range(1, 400):
         a, b = rows[k - 1], rows[k]
-        want = next((j for j in range(26) if a[1][j] != b[1][j]), 26) if a[0] == b[0] else 0
+        want = next((j for j in range(50) if a[1][j] != b[1][j]), 50) if a[0] == b[0] else 0
         assert lcp[k] == want
