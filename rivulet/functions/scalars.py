@@ -8,16 +8,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def int_floordiv(a: Column, b: Column) -> Column:
+    """a // b of whole numbers, exact at any size; null if b is 0."""
+    a, b = a.cast("long"), F.nullif(b.cast("long"), F.lit(0).cast("long"))
+    cut = F.call_function("div", a, b)
+    return cut - F.when((a % b != 0) & ((a < 0) != (b < 0)), 1).otherwise(0)
+
+
+def int_mod(a: Column, b: Column) -> Column:
+    """a % b of whole numbers with the sign of b; null if b is 0."""
+    a, b = a.cast("long"), F.nullif(b.cast("long"), F.lit(0).cast("long"))
+    rest = a % b
+    return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
+
+
 def floordiv(a: Column, b: Column) -> Column:
-    """a // b as python has it, for negative numbers too."""
-    return F.floor(a / b).cast("long")
+    """a // b as python has it, for negative numbers too, in double precision; null if b is 0."""
+    return F.floor(a / F.nullif(b.cast("double"), F.lit(0.0))).cast("long")
 
 
 def mod(a: Column, b: Column) -> Column:
-    """a % b with the sign of b."""
+    """a % b with the sign of b, in double precision; null if b is 0."""
+    b = F.nullif(b.cast("double"), F.lit(0.0))
     return a - F.floor(a / b) * b
 
 
+def to_uuid(c: Column) -> Column:
+    """Lower-case text of a uuid; null for other texts."""
+    low = F.lower(F.trim(c))
+    return F.when(low.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), low)
+
+
 def power(a: Column, b: Column) -> Column:
     return F.pow(a, b)
 
@@ -50,7 +71,7 @@ def str_replace(c: Column, pat: str, repl: str) -> Column:
 
 def json_canonical(c: Column) -> Column:
     """JSON text with ordered keys and no spaces: equal values are equal texts."""
-    return F.to_json(F.parse_json(c))
+    return F.to_json(F.try_parse_json(c))
 
 
 def json_value(c: Column, key: str | int, as_str: bool = False) -> Column:
@@ -60,7 +81,7 @@ def json_value(c: Column, key: str | int, as_str: bool = False) -> Column:
     else:
         if '"' in key:
             raise ValueError("keys with double quotes can't be looked up")
-        item = F.try_variant_get(F.parse_json(c), f'$["{key}"]', "variant")
+        item = F.try_variant_get(F.try_parse_json(c), f'$["{key}"]', "variant")
     return F.try_variant_get(item, "$", "string") if as_str else F.to_json(item)
 
 

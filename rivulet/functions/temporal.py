@@ -86,3 +86,42 @@ def components(interval: Column) -> dict[str, Column]:
 def date_plus(d: Column, interval: Column) -> Column:
     """date + interval, to the nearest day."""
     return (d.cast("timestamp_ntz") + interval + F.expr("interval '12' hour")).cast("date")
+
+
+def date_minus(d: Column, interval: Column) -> Column:
+    """date - interval, to the nearest day."""
+    return (d.cast("timestamp_ntz") - interval + F.expr("interval '12' hour")).cast("date")
+
+
+def date_minus_date(a: Column, b: Column) -> Column:
+    """A span of whole days."""
+    return F.make_dt_interval(F.date_diff(a, b))
+
+
+def from_microseconds(us: Column) -> Column:
+    """A time span of so many microseconds."""
+    us = F.round(us).cast("long")
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (us / 1_000_000).cast("decimal(18,6)"))
+
+
+def seconds(interval: Column) -> Column:
+    """Whole seconds of the last day begun."""
+    return F.floor(F.pmod(total_microseconds(interval), F.lit(86_400_000_000)) / 1_000_000).cast("long")
+
+
+def microseconds(interval: Column) -> Column:
+    """Microseconds of the last second begun."""
+    return F.pmod(total_microseconds(interval), F.lit(1_000_000))
+
+
+def parse_interval(text: Column) -> Column:
+    """A time span from ISO 8601 text such as P1DT2H3M4.5S, or with W for weeks; null for other texts."""
+    shape = r"^(-)?P(?:(\d+)W)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
+    part = lambda k, kind: F.coalesce(F.nullif(F.regexp_extract(text, shape, k), F.lit("")).cast(kind), F.lit(0).cast(kind))
+    made = F.make_dt_interval(part(2, "int") * 7 + part(3, "int"), part(4, "int"), part(5, "int"), part(6, "decimal(18,6)"))
+    return F.when(text.rlike(shape) & (text.rlike(r"\d")), F.when(F.regexp_extract(text, shape, 1) == "-", -made).otherwise(made))
+
+
+def to_time(c: Column) -> Column:
+    """The time of day as text, to the microsecond."""
+    return F.date_format(F.when(c.cast("string").rlike(r"^\d{1,2}:"), F.concat(F.lit("1970-01-01 "), c.cast("string"))).otherwise(c.cast("string")).cast("timestamp_ntz"), "HH:mm:ss.SSSSSS")

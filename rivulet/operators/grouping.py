@@ -4,18 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Agg = Callable[[Column], Column]
 
 
-def median_disc(c: Column) -> Column:
-    """The discrete median of any ordered type: the first value with half of all at or before it."""
-    values = F.array_sort(F.collect_list(c))
-    return F.try_element_at(values, F.ceil(F.count(c) * 0.5).cast("int"))
-
-
 def sem(c: Column) -> Column:
     return F.stddev_samp(c) / F.sqrt(F.count(c))
 
@@ -23,14 +17,23 @@ def sem(c: Column) -> Column:
 #: Aggregates by name; nulls are skipped by all of them.
 FUNCTIONS: dict[str, Agg] = {
     "count": F.count, "min": F.min, "max": F.max, "sum": F.sum, "mean": F.avg, "nunique": F.count_distinct,
-    "std": F.stddev_samp, "std_pop": F.stddev_pop, "var": F.var_samp, "sem": sem, "median": median_disc,
-    "mode": lambda c: F.mode(c, True), "any": F.bool_or, "all": F.bool_and,
+    "std": F.stddev_samp, "std_pop": F.stddev_pop, "var": F.var_samp, "sem": sem, "any": F.bool_or, "all": F.bool_and,
+    "list": F.collect_list,
 }
+#: Those that take numbers (or intervals) only, and those that go by how often each value occurs.
+NUMERIC = {"sum", "mean", "std", "std_pop", "var", "sem"}
+COUNTED = ("median", "mode")
+
+
+def is_number(kind: str) -> bool:
+    return kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith(("decimal", "interval"))
 
 
 def resolve(func: str | Agg) -> tuple[str, Agg]:
     if callable(func):
         return getattr(func, "__name__", "agg"), func
+    if func in COUNTED:
+        return func, FUNCTIONS["count"]
     if func not in FUNCTIONS:
         raise ValueError(f"unknown aggregate {func}")
     return func, FUNCTIONS[func]
@@ -59,10 +62,50 @@ def expressions(spec: dict[str, str | Agg | list]) -> list[Column]:
             if alias in names:
                 raise ValueError(f"two aggregates are named {alias}")
             names.add(alias)
-            out.append(f(F.col(column)).alias(alias))
+            out.append(f(F.col(f"`{column}`")).alias(alias))
     return out
 
 
+def _counted(df: DataFrame, by: list[str], column: str, name: str, alias: str) -> DataFrame:
+    """The discrete median or the mode (the smallest of several) of any ordered type, from how often each value occurs.
+
+    Rows are summed up by value first; the running sums that a median needs are over a group's
+    distinct values, sorted by Spark with spilling, and no buffer holds them all.
+    """
+    keys = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(by)]
+    names = [f"__k{i}" for i in range(len(by))]
+    each = df.where(F.col(f"`{column}`").isNotNull()).groupBy(*keys, F.col(f"`{column}`").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    if name == "mode":
+        top = each.groupBy(*names).agg(F.max("__n").alias("__m"))
+        top = top.select(*[F.col(c).alias(f"{c}_") for c in names], "__m")
+        same = F.lit(True)
+        for c in names:
+            same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+        return each.join(F.broadcast(top) if not by else top, same & (F.col("__n") == F.col("__m"))).groupBy(*names).agg(F.min("__v").alias(alias))
+    whole = Window.partitionBy(*names)
+    upto = whole.orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = each.withColumn("__u", F.sum("__n").over(upto)).withColumn("__t", F.sum("__n").over(whole))
+    return at.where("2 * __u >= __t").groupBy(*names).agg(F.min("__v").alias(alias))
+
+
+def aggregate_by(df: DataFrame, by: list[str], spec: dict[str, str | Agg | list]) -> DataFrame:
+    """<column>_<function> for each entry, by group; medians and modes are joined to the others by the keys."""
+    exprs = expressions(spec)  # also checks names
+    pairs = [(c, f) for c, funcs in spec.items() for f in (funcs if isinstance(funcs, list) else [funcs])]
+    plain = [e for e, (_, f) in zip(exprs, pairs, strict=True) if f not in COUNTED]
+    if len(plain) == len(pairs):
+        return aggregate(df, [F.col(f"`{c}`") for c in by], *plain)
+    out = aggregate(df, [F.col(f"`{c}`") for c in by], *(plain or [F.count(F.lit(1)).alias("__rows")]))
+    for c, f in pairs:
+        if f in COUNTED:
+            found = _counted(df, by, c, f, f"{c}_{f}")
+            same = F.lit(True)
+            for i, k in enumerate(by):
+                same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
+            out = out.join(found, same, "left").drop(*[f"__k{i}" for i in range(len(by))])
+    return out.select(*[F.col(f"`{c}`") for c in by], *[F.col(f"`{c}_{f if isinstance(f, str) else getattr(f, '__name__', 'agg')}`") for c, f in pairs])
+
+
 def aggregate(df: DataFrame, by: list, *exprs: Column) -> DataFrame:
     return df.groupBy(*by).agg(*exprs) if by else df.agg(*exprs)
 
@@ -87,7 +130,7 @@ def describe(df: DataFrame, columns: list[str], percentiles: list[float] | None
     stats = ["count", "mean", "std", "min", "max", "nunique", "mode"]
     exprs = []
     for c in columns:
-        each = [FUNCTIONS[s](F.col(c)).cast("double") for s in stats] + [F.percentile(F.col(c), p).cast("double") for p in percentiles]
+        each = [(F.mode(F.col(c), True) if s == "mode" else FUNCTIONS[s](F.col(c))).cast("double") for s in stats] + [F.percentile(F.col(c), p).cast("double") for p in percentiles]
         exprs.append(F.array(*[F.round(e, 2) for e in each]).alias(c))
     names = stats + [str(p) for p in percentiles]
     one = df.agg(*exprs)

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BIN = "struct<lower:double,upper:double,bounds:string>"
 
 
+#: Labels that are looked up and become columns: more raise a ValueError.
+MOST_LABELS = 10_000
+
+
+def _labels(df: DataFrame, column: str) -> list:
+    found = [r[0] for r in df.select(F.col(f"`{column}`")).distinct().limit(MOST_LABELS + 1).collect()]
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"{column} has more than {MOST_LABELS} values: they can't all become columns")
+    return sorted(found, key=lambda v: (v is not None, v))
+
+
 def stack(df: DataFrame, index: list[str], columns: list[str], dropna: bool = True) -> DataFrame:
     """Columns to rows: __stacked_index names the column, __stacked holds its value."""
     out = df.unpivot(index, columns, "__stacked_index", "__stacked")
@@ -17,7 +30,7 @@ def stack(df: DataFrame, index: list[str], columns: list[str], dropna: bool = Tr
 def unstack(df: DataFrame, index: list[str], level: str, columns: list[str], values: list | None = None, fill_value=None, aggregation: str = "max") -> DataFrame:
     """Values of a level to columns <value>__<column>. Without values they are looked up, which runs a query."""
     if values is None:
-        values = sorted(r[0] for r in df.select(level).distinct().collect())
+        values = _labels(df, level)
     if any(v is None for v in values):
         raise ValueError("a null label can't become a column")
     f = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.count, "mean": F.avg}[aggregation]
@@ -29,7 +42,7 @@ def unstack(df: DataFrame, index: list[str], level: str, columns: list[str], val
 def get_dummies(df: DataFrame, column: str, values: list | None = None, prefix: str | None = None, sep: str = "_", dummy_na: bool = False) -> DataFrame:
     """One 0/1 column for each value."""
     if values is None:
-        values = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+        values = [v for v in _labels(df, column) if v is not None]
     name = column if prefix is None else prefix
     flags = {f"{name}{sep}{v}": F.coalesce((F.col(column) == F.lit(v)).cast("long"), F.lit(0)) for v in values}
     if dummy_na:
@@ -43,17 +56,45 @@ def _with(df: DataFrame, **params: Column) -> DataFrame:
 
 
 def scale(df: DataFrame, columns: list[str], with_mean: bool = True, with_std: bool = True) -> DataFrame:
-    """(x - mean) / population standard deviation."""
-    out = _with(df, **{f"_m_{c}": F.avg(c) for c in columns}, **{f"_s_{c}": F.stddev_pop(c) for c in columns})
-    picks = {c: (F.col(c) - (F.col(f"_m_{c}") if with_mean else F.lit(0.0))) / (F.col(f"_s_{c}") if with_std else F.lit(1.0)) for c in columns}
-    return out.select(*[picks[c].alias(c) if c in picks else c for c in df.columns])
+    """(x - mean) / population standard deviation; a column of one value becomes 0, as it isn't divided."""
+    out = _with(df, **{f"_m_{c}": F.avg(F.col(f"`{c}`")) for c in columns}, **{f"_s_{c}": F.stddev_pop(F.col(f"`{c}`")) for c in columns})
+    picks = {c: (F.col(c) - (F.col(f"_m_{c}") if with_mean else F.lit(0.0))) / (F.coalesce(F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), F.lit(1.0)) if with_std else F.lit(1.0)) for c in columns}
+    return out.select(*[picks[c].alias(c) if c in picks else F.col(f"`{c}`") for c in df.columns])
 
 
 def minmax_scale(df: DataFrame, columns: list[str], feature_range: tuple[float, float] = (0, 1)) -> DataFrame:
     low, high = feature_range
-    out = _with(df, **{f"_a_{c}": F.min(c) for c in columns}, **{f"_b_{c}": F.max(c) for c in columns})
-    picks = {c: (F.col(c) - F.col(f"_a_{c}")) / (F.col(f"_b_{c}") - F.col(f"_a_{c}")) * F.lit(float(high - low)) + F.lit(float(low)) for c in columns}
-    return out.select(*[picks[c].alias(c) if c in picks else c for c in df.columns])
+    out = _with(df, **{f"_a_{c}": F.min(F.col(f"`{c}`")) for c in columns}, **{f"_b_{c}": F.max(F.col(f"`{c}`")) for c in columns})
+    picks = {c: (F.col(c) - F.col(f"_a_{c}")) / F.coalesce(F.nullif((F.col(f"_b_{c}") - F.col(f"_a_{c}")).cast("double"), F.lit(0.0)), F.lit(1.0)) * F.lit(float(high - low)) + F.lit(float(low)) for c in columns}
+    return out.select(*[picks[c].alias(c) if c in picks else F.col(f"`{c}`") for c in df.columns])
+
+
+@dataclass(frozen=True)
+class Scaler:
+    """Shift and width of each column, learned on one frame and used on others."""
+
+    parameters: dict[str, tuple[float, float]]
+    low: float = 0.0
+    high: float = 1.0
+
+    @classmethod
+    def fit(cls, df: DataFrame, columns: list[str], kind: str = "standard", with_mean: bool = True, with_std: bool = True, feature_range: tuple[float, float] = (0, 1)) -> Scaler:
+        """kind: standard (mean and population standard deviation) or minmax. One row is read."""
+        two = {"standard": (F.avg, F.stddev_pop), "minmax": (F.min, F.max)}[kind]
+        row = df.agg(*[f(F.col(f"`{c}`")).cast("double") for c in columns for f in two]).first()
+        found = {}
+        for i, c in enumerate(columns):
+            a, b = row[2 * i], row[2 * i + 1]
+            if a is None:
+                found[c] = (0.0, 1.0)
+            elif kind == "standard":
+                found[c] = (a if with_mean else 0.0, (b or 1.0) if with_std else 1.0)
+            else:
+                found[c] = (a, (b - a) or 1.0)
+        return cls(found, *map(float, feature_range if kind == "minmax" else (0, 1)))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: (F.col(f"`{c}`") - F.lit(a)) / F.lit(b) * F.lit(self.high - self.low) + F.lit(self.low) for c, (a, b) in self.parameters.items()})
 
 
 def _bin_of(x: Column, edges: Column, right: bool) -> Column:
@@ -71,7 +112,7 @@ def cut(df: DataFrame, column: str, bins: int, right: bool = True, name: str = "
     high = F.when(same, F.col("_b") + F.when(F.col("_b") == 0, 0.001).otherwise(0.001 * F.abs("_b"))).otherwise(F.col("_b"))
     step, extra = (high - low) / bins, F.when(same, 0.0).otherwise((high - low) * 0.001)
     edges = F.array(*[low + step * k - (extra if right and k == 0 else F.lit(0.0)) + (extra if not right and k == bins else F.lit(0.0)) if k < bins else high + (F.lit(0.0) if right else extra) for k in range(bins + 1)])
-    return out.select(*df.columns, _bin_of(F.col(column), edges, right).alias(name))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], _bin_of(F.col(f"`{column}`"), edges, right).alias(name))
 
 
 def qcut(df: DataFrame, column: str, q: int | list[float], name: str = "q_range") -> DataFrame:
@@ -79,7 +120,7 @@ def qcut(df: DataFrame, column: str, q: int | list[float], name: str = "q_range"
     qs = [k / q for k in range(q + 1)] if isinstance(q, int) else list(q)
     out = _with(df, _q=F.percentile(F.col(column).cast("double"), qs))
     edges = F.array_distinct(F.transform("_q", lambda x, i: F.when(i == 0, x - 0.001).otherwise(x)))
-    return out.select(*df.columns, _bin_of(F.col(column), edges, True).alias(name))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], _bin_of(F.col(f"`{column}`"), edges, True).alias(name))
 
 
 def histogram(df: DataFrame, columns: list[str], bins: int) -> DataFrame:

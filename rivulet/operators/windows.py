@@ -29,6 +29,15 @@ def expanding(agg: Column, spec: WindowSpec, min_periods: int = 1) -> Column:
     return F.when(F.count(F.lit(1)).over(frame) >= min_periods, agg.over(frame))
 
 
+def framed(agg: Column, spec: WindowSpec, start: int | None, end: int | None, mode: str = "rows") -> Column:
+    """An aggregate over rows, or values of the one numeric sort key, from start to end around the current one; None: without bound."""
+    low = Window.unboundedPreceding if start is None else start
+    high = Window.unboundedFollowing if end is None else end
+    if mode not in ("rows", "range"):
+        raise ValueError("mode is rows or range")
+    return agg.over(spec.rowsBetween(low, high) if mode == "rows" else spec.rangeBetween(low, high))
+
+
 def ffill(c: Column, spec: WindowSpec) -> Column:
     """The last value that isn't null, up to this row."""
     return F.last(c, ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import json_slice
+
 SESSION_GAP_SECONDS = 1800
 CONTEXT = "array<map<string,string>>"
 
@@ -52,33 +54,38 @@ def anonymize(df: DataFrame) -> DataFrame:
 def sessionize(df: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS, user: str = "user_id", moment: str = "moment", event: str = "event_id") -> DataFrame:
     """session_id and session_hit_number: a session ends when its user is away for longer than the gap.
 
-    Sessions are numbered by their first (moment, event). Lags and running counts stay within a
-    user; only session starts are ranked over all users: their range partitions are numbered
-    one by one and offset by the counts before them, so no task holds all of them.
+    Sessions are numbered by their first (moment, event). All that is counted within a user comes
+    from one pass over the user's sorted events; only session starts are numbered over all users,
+    see number_rows. An event without a moment is a session of its own, before all others.
     """
     w = Window.partitionBy(user).orderBy(moment, event)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     away = F.timestamp_diff("MICROSECOND", F.lag(moment).over(w), F.col(moment)) > gap_seconds * 1_000_000
-    out = df.withColumn("_start", F.coalesce(away, F.lit(True)).cast("int"))
-    out = out.withColumn("_k", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = df.withColumn("_start", F.coalesce(away, F.lit(True)).cast("int")).withColumn("_n", F.row_number().over(w))
+    out = out.withColumn("_k", F.sum("_start").over(upto)).withColumn("_first", F.max(F.when(F.col("_start") == 1, F.col("_n"))).over(upto))
     starts = out.where("_start = 1").select(F.col(user).alias("_su"), F.col("_k").alias("_sk"), F.col(moment).alias("_m"), F.col(event).alias("_e"))
     ranked = number_rows(starts, ["_m", "_e"], "session_id")
+    out = out.withColumn("session_hit_number", (F.col("_n") - F.col("_first") + 1).cast("long"))
     out = out.join(ranked.select("_su", "_sk", "session_id"), F.col(user).eqNullSafe(F.col("_su")) & (F.col("_k") == F.col("_sk")))
-    hits = Window.partitionBy(user, "_k").orderBy(moment, event)
-    return out.withColumn("session_hit_number", F.row_number().over(hits).cast("long")).drop("_start", "_k", "_su", "_sk")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], "session_id", "session_hit_number")
 
 
 def number_rows(df: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Numbers from 1 over a whole frame in an order, without gathering it in one task.
+    """Numbers from 1 over a whole frame in an order whose first key is a timestamp, nulls first, without gathering it in one task.
 
-    Rows are dealt to hours of the first key (any monotone coarse key would do); hours are counted
-    with partial sums, and a row's number is its place in its hour after the hours before.
+    Rows are counted by second with partial sums; seconds are summed up within their hour, and
+    hours over all, which is one row an hour. A row's number is its place in its second after those.
     """
-    df = df.withColumn("_hour", F.date_trunc("hour", by[0]))
-    counts = df.groupBy("_hour").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("_hour").orderBy(*by))
-    out = df.withColumn("_place", place).join(before.select(F.col("_hour").alias("_h"), "_before"), F.col("_hour") == F.col("_h"))
-    return out.withColumn(name, F.col("_before") + F.col("_place")).drop("_hour", "_place", "_h", "_before")
+    df = df.withColumn("_second", F.date_trunc("second", by[0]))
+    counts = df.groupBy("_second").agg(F.count(F.lit(1)).alias("_c")).withColumn("_hour", F.date_trunc("hour", "_second"))
+    hours = counts.groupBy(F.col("_hour").alias("_h")).agg(F.sum("_c").alias("_hc"))
+    earlier = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hours = hours.select("_h", earlier("_hc", Window.orderBy("_h")).alias("_hb"))
+    before = counts.withColumn("_sb", earlier("_c", Window.partitionBy("_hour").orderBy("_second")))
+    before = before.join(F.broadcast(hours), F.col("_hour").eqNullSafe(F.col("_h"))).select(F.col("_second").alias("_s"), (F.col("_sb") + F.col("_hb")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_second").orderBy(*by))
+    out = df.withColumn("_place", place).join(before, F.col("_second").eqNullSafe(F.col("_s")))
+    return out.withColumn(name, F.col("_before") + F.col("_place")).drop("_second", "_place", "_s", "_before")
 
 
 def session_frame(raw: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS, identity_id: str | None = None, resolve: bool = False, anonymous: bool = False) -> DataFrame:
@@ -96,3 +103,43 @@ def nice_name(stack: Column) -> Column:
     last = F.element_at(named, -1)
     above = F.array_join(F.slice(named, F.lit(1), F.greatest(n - 1, F.lit(0))), " => ")
     return F.when(n == 0, F.lit(None)).when(n == 1, last).otherwise(F.concat(last, F.lit(" located at "), above))
+
+
+def navigation_features(stack: Column) -> Column:
+    """The part of a location stack from its first navigation on; an empty list where there is none."""
+    return json_slice(stack, {"_type": "NavigationContext"})
+
+
+def feature_stack(stack: Column) -> Column:
+    """A location stack with the type and the id of each context alone."""
+    kept = F.transform(F.from_json(stack, "array<struct<_type:string,id:string>>"), lambda c: F.struct(c["_type"].alias("_type"), c["id"].alias("id")))
+    return F.when(stack.isNotNull(), F.to_json(kept))
+
+
+def application(text: Column) -> Column:
+    return context_value(text, "ApplicationContext", "id")
+
+
+def cookie_id(text: Column) -> Column:
+    return context_value(text, "CookieIdContext", "cookie_id")
+
+
+def user_agent(text: Column) -> Column:
+    return context_value(text, "HttpContext", "user_agent")
+
+
+#: Columns of a session frame and their types.
+COLUMNS = {
+    "event_id": ("string", "bigint"), "day": ("date",), "moment": ("timestamp_ntz", "timestamp"), "user_id": ("string", "bigint"), "global_contexts": ("string",), "location_stack": ("string",),
+    "event_type": ("string",), "stack_event_types": ("array<string>",), "session_id": ("bigint",), "session_hit_number": ("bigint",),
+}
+
+
+def check_frame(df: DataFrame, columns: list[str] | None = None, check_types: bool = True) -> None:
+    """A ValueError if a needed column is missing or of another type."""
+    kinds = dict(df.dtypes)
+    for c in COLUMNS if columns is None else columns:
+        if c not in kinds:
+            raise ValueError(f"column {c} is missing")
+        if check_types and c in COLUMNS and kinds[c] not in COLUMNS[c]:
+            raise ValueError(f"column {c} is of type {kinds[c]}, not {COLUMNS[c][0]}")

@@ -81,9 +81,11 @@ def top_features_before_conversion(df: DataFrame, converted: Column, by: list[st
     return top_features(pre_conversion_hits(df, converted).where("pre_conversion_hit_number IS NOT NULL"), by)
 
 
-def retention_matrix(df: DataFrame, period: str = "monthly", n: int = 4, start: str | None = None, end: str | None = None, percentage: bool = False) -> DataFrame:
+def retention_matrix(df: DataFrame, period: str = "monthly", n: int = 4, start: str | None = None, end: str | None = None, percentage: bool = False, event_type: str | None = None) -> DataFrame:
     """Users of each cohort (the period of their first event) in the first n periods: first_cohort, _0 .. _(n-1); null where none."""
     part = PERIODS[period]
+    if event_type:
+        df = df.where(F.array_contains("stack_event_types", event_type) if "stack_event_types" in df.columns else F.col("event_type") == event_type)
     if end:
         df = df.where(F.col("moment") < F.lit(end).cast("timestamp_ntz"))
     at = F.date_trunc(part, "moment").cast("timestamp_ntz")
@@ -98,14 +100,10 @@ def retention_matrix(df: DataFrame, period: str = "monthly", n: int = 4, start:
     return out.select("first_cohort", *picks)
 
 
-def funnel(df: DataFrame, steps: list[str], partition: str = "session_id") -> DataFrame:
-    """How many sessions reach each of the steps, in order of time."""
-    firsts = df.groupBy(partition).agg(F.sort_array(F.collect_list(F.when(F.col("event_type").isin(steps), F.struct("moment", "event_type")))).alias("_e"))
-    zero = F.lit(0)
-    names = F.array(*[F.lit(s) for s in steps])
-    reached = F.aggregate("_e", zero, lambda k, e: F.when(F.get(names, k) == e["event_type"], k + 1).otherwise(k))
-    at = firsts.select(reached.alias("_k"))
-    return at.select(F.posexplode(F.slice(names, F.lit(1), F.col("_k"))).alias("_at", "step")).groupBy("_at", "step").count().orderBy("_at").select("step", F.col("count").alias("n"))
+def accuracy_score(df: DataFrame, label: str, predicted: Column) -> float | None:
+    """The share of rows whose prediction is right; rows without a label or a prediction count as wrong."""
+    same = F.coalesce(F.col(label).cast("boolean") == predicted.cast("boolean"), F.lit(False))
+    return df.agg(F.avg(same.cast("int"))).first()[0]
 
 
 class LogisticRegression:
@@ -137,4 +135,4 @@ class LogisticRegression:
         return self.predict_proba() > 0.5
 
     def score(self, df: DataFrame, label: str) -> float:
-        return df.agg(F.avg((self.predict() == F.col(label).cast("boolean")).cast("int"))).first()[0]
+        return accuracy_score(df, label, self.predict())

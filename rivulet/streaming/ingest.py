@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_EVENT_AGE_MS = 3_600_000
 #: Columns of an event that are needed, and the types that each event type inherits.
 SCHEMA = "id string, _type string, time long, global_contexts string, location_stack string"
-UTM = {"source": "utm_source", "medium": "utm_medium", "campaign": "utm_campaign", "term": "utm_term", "content": "utm_content"}
+UTM = ("source", "medium", "campaign", "term", "content", "source_platform", "creative_format", "marketing_tactic")
+#: Limits of a request.
+MAX_REQUEST_BYTES, MAX_REQUEST_EVENTS = 1_000_000, 1_000
 
 
 def correct_clock(time: Column, transport_time: Column, now_ms: Column) -> Column:
@@ -18,11 +21,71 @@ def correct_clock(time: Column, transport_time: Column, now_ms: Column) -> Colum
 
 def marketing(url: Column) -> Column:
     """A struct of the utm parameters of a URL; null without source, medium and campaign."""
-    parts = {k: F.try_parse_url(url, F.lit("QUERY"), F.lit(v)) for k, v in UTM.items()}
+    parts = {k: F.try_url_decode(F.replace(F.try_parse_url(url, F.lit("QUERY"), F.lit(f"utm_{k}")), F.lit("+"), F.lit(" "))) for k in UTM}
     made = F.struct(*[c.alias(k) for k, c in parts.items()])
     return F.when(parts["source"].isNotNull() & parts["medium"].isNotNull() & parts["campaign"].isNotNull(), made)
 
 
+def _with_context(contexts: Column, made: Column) -> Column:
+    """JSON contexts and one more, given as a struct, unless that is null."""
+    known = F.coalesce(F.from_json(contexts, "array<variant>"), F.array().cast("array<variant>"))
+    return F.when(made.isNull(), contexts).otherwise(F.to_json(F.concat(known, F.array(F.try_parse_json(F.to_json(made))))))
+
+
+def add_marketing_context(df: DataFrame) -> DataFrame:
+    """global_contexts with a marketing context, where the first path context's URL names source, medium and campaign."""
+    paths = F.filter(F.from_json("global_contexts", "array<map<string,string>>"), lambda c: c["_type"] == "PathContext")
+    found = marketing(F.get(paths, F.lit(0))["id"])
+    made = F.when(found.isNotNull(), F.struct(F.lit("MarketingContext").alias("_type"), F.lit("utm").alias("id"), *[found[k].alias(k) for k in UTM]))
+    return df.withColumn("global_contexts", _with_context(F.col("global_contexts"), made))
+
+
+def add_http_context(df: DataFrame, referrer: Column, user_agent: Column, remote_address: Column | None = None) -> DataFrame:
+    """global_contexts with what the request said of itself."""
+    made = F.struct(F.lit("HttpContext").alias("_type"), F.lit("http_context").alias("id"), F.coalesce(referrer, F.lit("")).alias("referrer"), F.coalesce(user_agent, F.lit("")).alias("user_agent"), *([remote_address.alias("remote_address")] if remote_address is not None else []))
+    return df.withColumn("global_contexts", _with_context(F.col("global_contexts"), made))
+
+
+def add_cookie_context(df: DataFrame, cookie_id: Column) -> DataFrame:
+    """global_contexts with the cookie, where there is one."""
+    made = F.when(cookie_id.isNotNull(), F.struct(F.lit("CookieIdContext").alias("_type"), cookie_id.alias("id"), cookie_id.alias("cookie_id")))
+    return df.withColumn("global_contexts", _with_context(F.col("global_contexts"), made))
+
+
+def request_events(requests: DataFrame, body: str = "body", received_ms: str = "received_ms") -> DataFrame:
+    """The events of JSON requests {"events": [...], "transport_time": ms}, their times in server time.
+
+    Requests that are too large, hold too many events or aren't of that form give no events; see
+    bad_requests.
+    """
+    form = "struct<events: array<variant>, transport_time: long>"
+    parsed = requests.where(~_bad(F.col(body))).withColumn("_r", F.from_json(body, form))
+    each = parsed.select(F.explode("_r.events").alias("_e"), F.col("_r.transport_time").alias("_sent"), F.col(received_ms).alias("_now"))
+    at = lambda k, kind="string": F.try_variant_get("_e", f"$.{k}", kind)
+    return each.select(
+        at("id").alias("id"), at("_type").alias("_type"), correct_clock(at("time", "long"), F.coalesce("_sent", "_now"), F.col("_now")).alias("time"),
+        F.coalesce(F.to_json(at("global_contexts", "variant")), F.lit("[]")).alias("global_contexts"), F.coalesce(F.to_json(at("location_stack", "variant")), F.lit("[]")).alias("location_stack"),
+    )
+
+
+def _bad(body: Column) -> Column:
+    n = F.json_array_length(F.get_json_object(body, "$.events"))
+    return F.coalesce((F.octet_length(body) > MAX_REQUEST_BYTES) | n.isNull() | (n > MAX_REQUEST_EVENTS), F.lit(True))
+
+
+def bad_requests(requests: DataFrame, body: str = "body") -> DataFrame:
+    return requests.where(_bad(F.col(body)))
+
+
+def enqueue(events: DataFrame, path: str) -> None:
+    """Events to a queue folder, which a stream reads in portions and keeps its place in."""
+    events.write.mode("append").json(path)
+
+
+def queued(spark: SparkSession, path: str, files_per_batch: int = 200) -> DataFrame:
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(path)
+
+
 def reject_reason(now_ms: Column, required: dict[str, list[str]]) -> Column:
     """Why an event isn't kept, null if it is: unknown type, missing id, missing contexts, too old or in the future."""
     kinds = F.transform(F.from_json("global_contexts", "array<map<string,string>>"), lambda c: c["_type"])
@@ -59,8 +122,8 @@ def start(stream: DataFrame, good_path: str, bad_path: str, checkpoint: str, req
         now = F.unix_millis(F.current_timestamp()) if now_ms is None else now_ms
         try:
             known = spark.read.parquet(good_path).where(F.col("_batch") != number)
-        except Exception as e:  # nothing is written yet
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:  # nothing is written yet
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             known = None
         good, bad = split_batch(batch, now, required, known)
