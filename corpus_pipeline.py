@@ -33,14 +33,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     other columns, stays. Null and blank texts have no copies; columns stay as they are, whatever
     their names; an empty table stays empty.
     """
-    found = jaccard_join.jaccard_components(docs)
+    found = checkpoint(jaccard_join.jaccard_components(docs))
     x = free_prefix(docs)
-    copies = found.where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias(f"{x}copy")).distinct()
-    kept = docs.join(copies, F.col("doc_id") == F.col(f"{x}copy"), "left_anti")
-    repeated = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(f"{x}again"))
+    copies = checkpoint(found.where("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias(f"{x}copy")).distinct())
+    small = F.broadcast(copies) if copies.count() <= jaccard_join.BROADCAST_IDS else copies  # else the texts are shuffled
+    kept = docs.join(small, F.col("doc_id") == F.col(f"{x}copy"), "left_anti")
+    repeated = checkpoint(found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(f"{x}again")))
+    if repeated.isEmpty():
+        return kept
     again = kept.join(repeated, F.col("doc_id") == F.col(f"{x}again"), "left").withColumn(f"{x}again", F.col(f"{x}again").isNotNull() & (n_words(F.col("text")) > 0))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    first = again.where(f"{x}again").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in columns if c._jc.toString() != "text"])).alias(f"{x}row"))
+    first = again.where(f"{x}again").groupBy("doc_id").agg(F.min(F.struct("text", *[F.col(f"`{c}`") for c in docs.columns if c != "text"])).alias(f"{x}row"))
     return again.where(f"NOT {x}again").select(*columns).unionByName(first.select(f"{x}row.*"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -57,6 +59,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give memory that was freed back to the system: a worker that waits would keep it otherwise."""
+    gc.collect()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(work):
+    """A function over batches that leaves no freed memory with its worker."""
+
+    @functools.wraps(work)
+    def run(batches):
+        yield from work(batches)
+        trim()
+
+    return run
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows: some texts are megabytes long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")

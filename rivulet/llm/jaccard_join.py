@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _MIX, SHINGLE_WORDS, checkpoint, mixed, release, shingle_sets, small_batches
+from .common import _MIX, SHINGLE_WORDS, checkpoint, lean, mixed, release, shingle_sets, small_batches
 from .components import connected_components
 
 #: Ratio of the sizes of a band, pieces of a part, and the slack of the number of parts.
@@ -41,7 +41,7 @@ BAND, PIECES, SLACK = 1.5625, 3, 0.2
 #: A feature that so many sets hold (as far as partial counts tell) is left out; at most so many are.
 FREQUENT, MOST_FREQUENT, LOCAL = 64, 1 << 18, 2
 #: Features that a task gathers before it counts or sends them.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: A signature of so many sets in one batch of a task is summed up there.
 LOCAL_BUCKET = 32
 #: Classes of at most so many rows are broadcast by their ids (8 bytes each).
@@ -247,7 +247,7 @@ def shingle_classes(docs: DataFrame, id_col: str, text_col: str, width: int) ->
         if held:
             yield counted()
 
-    return docs.select(id_col, text_col).mapInArrow(classes, f"_id {kind}, n long, node long, sketch binary, words array<long>, frequent long")
+    return docs.select(id_col, text_col).mapInArrow(lean(classes), f"_id {kind}, n long, node long, sketch binary, words array<long>, frequent long")
 
 
 def shared_signatures(docs: DataFrame, text_col: str, width: int, percent: int, frequent) -> DataFrame:
@@ -312,7 +312,7 @@ def shared_signatures(docs: DataFrame, text_col: str, width: int, percent: int,
         keep[:-1] |= same
         return pa.table({"sig": np.concatenate([sig[keep], known]).view(np.int64), "node": np.concatenate([node[keep], owner]).view(np.int64)})
 
-    blobs = docs.select(text_col).mapInArrow(signed, "part long, shared boolean, sigs binary, nodes binary")
+    blobs = docs.select(text_col).mapInArrow(lean(signed), "part long, shared boolean, sigs binary, nodes binary")
     return blobs.groupBy("part").applyInArrow(met, "sig long, node long")
 
 
@@ -347,7 +347,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
             right = pa.array([len(x) > 0 and _node(x) == n for x, n in zip(own, batch.column(0).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in own], pa.binary())], names=["_n", "features"]).filter(right)
 
-    full = texts.mapInArrow(sets, "_n long, features binary").dropDuplicates(["_n"])
+    full = texts.mapInArrow(lean(sets), "_n long, features binary").dropDuplicates(["_n"])
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,7 +359,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = left.select("a", "b").join(full.select(F.col("_n").alias("b"), F.col("features").alias("fb")), "b").join(full.select(F.col("_n").alias("a"), F.col("features").alias("fa")), "a")
-    return checkpoint(joined.select("a", "b", "fa", "fb").mapInArrow(decided, "a long, b long"))
+    return checkpoint(joined.select("a", "b", "fa", "fb").mapInArrow(lean(decided), "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, width: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

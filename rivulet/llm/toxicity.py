@@ -20,10 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, release, small_batches
+from .common import checkpoint, lean, release, small_batches, trim
 
 #: Characters of the highest order and of the highest shared order.
 ORDER, SHARED_ORDER = 6, 4
@@ -77,7 +78,7 @@ def _counted(df: DataFrame, sizes: range) -> DataFrame:
                 yield from send()
         yield from send()
 
-    return df.mapInArrow(count, "kind int, gram string, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n"))
+    return df.mapInArrow(lean(count), "kind int, gram string, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n"))
 
 
 def _ending(gram: str) -> str:
@@ -223,8 +224,14 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class ToxicityModel:
-    def __init__(self, model: KneserNey, slope: float, offset: float):
-        self.model, self.slope, self.offset = model, slope, offset
+    """The curve of a score, and the word model as it was sent to the workers: it is sent once."""
+
+    def __init__(self, given: Broadcast, slope: float, offset: float):
+        self.given, self.slope, self.offset = given, slope, offset
+
+    @property
+    def model(self) -> KneserNey:
+        return self.given.value
 
     def score(self, x: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * x + self.offset))))
@@ -249,17 +256,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for kind, gram, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "gram", "n")), strict=True):
             own[kind][gram] = n
     del own_rows
+    trim()
     release(docs.sparkSession)  # the driver's memory is small beside the counts
     shared, floor = _shared_counts(texts, {_ending(g) for grams in own for g in grams})
     model = KneserNey(shared, floor, own)
+    del own, shared
     given = docs.sparkSession.sparkContext.broadcast(model)
+    del model
+    trim()
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence = Evidence(given.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([evidence.of(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["kind", "x"])
 
-    curve = sample.where(kept_out).select("kind", "text").mapInArrow(weigh, "kind int, x double").toArrow()
+    curve = sample.where(kept_out).select("kind", "text").mapInArrow(lean(weigh), "kind int, x double").toArrow()
     y, x = curve.column("kind").to_numpy().astype(float), curve.column("x").to_numpy()
     order = np.lexsort((x, y))
     slope, offset = _curve(x[order], y[order]) if 0 < y.sum() < len(y) else (0.0, -2.2)
@@ -268,20 +279,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = {k: min(MAX_PER_CLASS, n) for k, n in counts.items()}
     if len(counts) == 2:
         offset += math.log(counts[1] / counts[0]) - math.log(drawn[1] / drawn[0])
-    return ToxicityModel(model, slope, offset)
+    return ToxicityModel(given, slope, offset)
 
 
 def toxicity_score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Column:
     """A column with the score (0 to 1) of a whole text; null, empty and wordless texts have that of no evidence."""
     small_batches(docs.sparkSession)
-    given = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = given.value
-        evidence = Evidence(own.model)
+        evidence = Evidence(model.model)
         for part in parts:
-            yield pd.Series([own.score(evidence.of(t)) for t in part], dtype="float64")
+            yield pd.Series([model.score(evidence.of(t)) for t in part], dtype="float64")
+        evidence.clear()
+        trim()
 
     return score(F.col(text_col))
 
