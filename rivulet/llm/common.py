@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 
@@ -30,7 +31,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through a table in the folder that spark.checkpoint.dir names, which outlives executors.
 
-    A folder of our own is set only where the session names none (local runs and tests). The
+    A folder of our own is set only where the session names none and runs in one process (tests);
+    on a cluster a RuntimeError asks for a shared one. The
     tables are compressed, so they take a fraction of what an RDD's checkpoint does; they are
     removed when the driver ends.
     """
@@ -38,7 +40,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     folder = context._jsc.sc().getCheckpointDir()
     if not folder.isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rivulet-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rivulet-"))
         folder = context._jsc.sc().getCheckpointDir()
     path = f"{folder.get()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
