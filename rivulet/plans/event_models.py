@@ -25,7 +25,7 @@ def needs(*columns: str):
     return wrap
 
 
-class ModelHub:
+class EventModels:
     """Settings, and the models as methods: agg gives new frames, map gives columns for the frame's rows."""
 
     def __init__(self, time_aggregation: str = models.TIME_FORMAT):
@@ -62,24 +62,24 @@ class ModelHub:
 
 
 class Maps:
-    def __init__(self, hub: ModelHub):
-        self.hub = hub
+    def __init__(self, owner: EventModels):
+        self.models = owner
 
     @needs("event_type")
     def is_conversion_event(self, df: DataFrame, name: str) -> DataFrame:
-        return df.withColumn("is_conversion_event", F.coalesce(self.hub.conversion(name), F.lit(False)))
+        return df.withColumn("is_conversion_event", F.coalesce(self.models.conversion(name), F.lit(False)))
 
     @needs("session_id", "moment", "event_type")
     def conversions_in_time(self, df: DataFrame, name: str, partition: str = "session_id") -> DataFrame:
-        return df.withColumn("conversions_in_time", models.conversions_in_time(F.coalesce(self.hub.conversion(name), F.lit(False)), partition))
+        return df.withColumn("conversions_in_time", models.conversions_in_time(F.coalesce(self.models.conversion(name), F.lit(False)), partition))
 
     @needs("session_id", "event_type")
     def conversions_counter(self, df: DataFrame, name: str, partition: str = "session_id") -> DataFrame:
-        return df.withColumn("conversions_counter", models.conversions_counter(F.coalesce(self.hub.conversion(name), F.lit(False)), partition))
+        return df.withColumn("conversions_counter", models.conversions_counter(F.coalesce(self.models.conversion(name), F.lit(False)), partition))
 
     @needs("session_id", "session_hit_number", "moment", "event_type")
     def pre_conversion_hit_number(self, df: DataFrame, name: str, partition: str = "session_id") -> DataFrame:
-        return models.pre_conversion_hits(df, F.coalesce(self.hub.conversion(name), F.lit(False)), partition)
+        return models.pre_conversion_hits(df, F.coalesce(self.models.conversion(name), F.lit(False)), partition)
 
     @needs("user_id", "session_id")
     def is_first_session(self, df: DataFrame) -> DataFrame:
@@ -87,17 +87,17 @@ class Maps:
 
     @needs("user_id", "session_id", "moment")
     def is_new_user(self, df: DataFrame, fmt: str | None = None) -> DataFrame:
-        return df.withColumn("is_new_user", models.is_new_user(self.hub.time_agg(F.col("moment"), fmt)))
+        return df.withColumn("is_new_user", models.is_new_user(self.models.time_agg(F.col("moment"), fmt)))
 
 
 class Aggregates:
-    def __init__(self, hub: ModelHub):
-        self.hub = hub
+    def __init__(self, owner: EventModels):
+        self.models = owner
 
     def _by(self, df: DataFrame, by: list[str] | None, taken: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
-        """Groups: of the hub's time aggregation unless given; not by what is counted."""
+        """Groups: of the default time aggregation unless given; not by what is counted."""
         if by is None:
-            return df.withColumn("time_aggregation", self.hub.time_agg(F.col("moment"))), ["time_aggregation"]
+            return df.withColumn("time_aggregation", self.models.time_agg(F.col("moment"))), ["time_aggregation"]
         wrong = [c for c in by if c in taken]
         if wrong:
             raise ValueError(f"groups can't be by {wrong}")
@@ -136,6 +136,6 @@ class Aggregates:
     @needs("global_contexts", "location_stack", "user_id", "stack_event_types", "event_type", "session_id", "moment")
     def top_product_features_before_conversion(self, df: DataFrame, name: str, location_stack: Column | None = None, event_type: str = "InteractiveEvent") -> DataFrame:
         """The same, of the hits of sessions that convert, before they do."""
-        converted = F.coalesce(self.hub.conversion(name), F.lit(False))
+        converted = F.coalesce(self.models.conversion(name), F.lit(False))
         marked = df.withColumn("_all", models.conversions_counter(converted)).withColumn("_now", models.conversions_in_time(converted))
         return self._features(marked.where("_all >= 1 AND _now = 0").drop("_all", "_now"), location_stack, event_type)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .frame import Frame
 from .operators import joining, shaping, windows
 from .plans import events, models
-from .plans.hub import ModelHub
+from .plans.event_models import EventModels
 from .queries import _SESSIONS, _sessions, query
 from .series import Series
 from .streaming import ingest
@@ -343,7 +343,7 @@ def anonymous_sessions(t):
 
 @query(f"SELECT 'app' || user_id % 3 AS application, {_NAME} AS feature_nice_name, event_type, count(DISTINCT user_id) AS user_id_nunique FROM events WHERE event_type <> 'view' GROUP BY 1, 2, 3")
 def top_product_features(t):
-    return ModelHub().agg.top_product_features(events.extract_contexts(_raw(t)))
+    return EventModels().agg.top_product_features(events.extract_contexts(_raw(t)))
 
 
 _RAW_SESSIONS = _SESSIONS.replace("ts, event_id", "ts, event_id::VARCHAR").replace("b.ts, b.event_id)", "b.ts, b.event_id::VARCHAR)")
@@ -352,27 +352,27 @@ _RAW_SESSIONS = _SESSIONS.replace("ts, event_id", "ts, event_id::VARCHAR").repla
 @query(_RAW_SESSIONS + f""", m AS (SELECT *, sum((event_type = 'purchase')::INT) OVER (PARTITION BY session_id) AS al, sum((event_type = 'purchase')::INT) OVER (PARTITION BY session_id ORDER BY moment) AS nw FROM s)
 SELECT 'app' || user_id % 3 AS application, {_NAME} AS feature_nice_name, event_type, count(DISTINCT user_id) AS unique_users FROM m WHERE event_type <> 'view' AND al >= 1 AND nw = 0 GROUP BY 1, 2, 3""")
 def top_features_before_conversion(t):
-    hub = ModelHub()
-    name = hub.add_conversion_event(event_type="purchase")
-    return hub.agg.top_product_features_before_conversion(events.session_frame(_raw(t)), name)
+    own = EventModels()
+    name = own.add_conversion_event(event_type="purchase")
+    return own.agg.top_product_features_before_conversion(events.session_frame(_raw(t)), name)
 
 
 @query(_RAW_SESSIONS + """SELECT event_id::VARCHAR AS event_id, event_id % 3 = 0 AND event_type = 'click' AS is_conversion_event, CAST(sum((event_id % 3 = 0 AND event_type = 'click')::INT) OVER (PARTITION BY session_id ORDER BY moment) AS BIGINT) AS conversions_in_time, CAST(sum((event_id % 3 = 0 AND event_type = 'click')::INT) OVER (PARTITION BY session_id) AS BIGINT) AS conversions_counter FROM s""")
 def named_conversions(t):
-    hub = ModelHub()
-    name = hub.add_conversion_event(events.navigation_features(F.col("location_stack")), "click", "nav_click")
-    df = hub.map.conversions_counter(hub.map.conversions_in_time(hub.map.is_conversion_event(events.session_frame(_raw(t)), name), name), name)
+    own = EventModels()
+    name = own.add_conversion_event(events.navigation_features(F.col("location_stack")), "click", "nav_click")
+    df = own.map.conversions_counter(own.map.conversions_in_time(own.map.is_conversion_event(events.session_frame(_raw(t)), name), name), name)
     return df.select("event_id", "is_conversion_event", "conversions_in_time", "conversions_counter")
 
 
 @query(_SESSIONS + "SELECT event_type, count(DISTINCT session_id) AS unique_sessions FROM s GROUP BY 1")
 def unique_sessions(t):
-    return ModelHub().agg.unique_sessions(_sessions(t), ["event_type"])
+    return EventModels().agg.unique_sessions(_sessions(t), ["event_type"])
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS time_aggregation, count(DISTINCT user_id) AS unique_users FROM events GROUP BY 1")
 def users_by_default_time(t):
-    return ModelHub().agg.unique_users(t("events").withColumnRenamed("ts", "moment"))
+    return EventModels().agg.unique_users(t("events").withColumnRenamed("ts", "moment"))
 
 
 @query("WITH p AS (SELECT DISTINCT user_id, date_trunc('month', ts) AS p FROM events WHERE event_type = 'click'), f AS (SELECT *, min(p) OVER (PARTITION BY user_id) AS f FROM p), g AS (SELECT *, date_diff('month', f, p) AS d FROM f) SELECT strftime(f, '%Y-%m-%d') AS first_cohort, CASE WHEN count(*) FILTER (d = 0) > 0 THEN 100.0 END::DOUBLE AS _0, round(nullif(count(*) FILTER (d = 1), 0) * 100.0 / count(*) FILTER (d = 0), 6) AS _1 FROM g GROUP BY 1")

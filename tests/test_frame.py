@@ -7,7 +7,7 @@ from rivulet.frame import Frame
 from rivulet.functions import scalars
 from rivulet.operators import joining, shaping
 from rivulet.plans import events
-from rivulet.plans.hub import ModelHub
+from rivulet.plans.event_models import EventModels
 from rivulet.savepoints import Savepoints
 from rivulet.series import Series
 from rivulet.streaming import ingest
@@ -129,20 +129,20 @@ def test_events_without_a_moment(spark):
     assert got == {2: (1, 1), 3: (2, 1), 1: (3, 1), 4: (4, 1)}
 
 
-def test_hub_rules(spark):
-    hub = ModelHub()
+def test_model_rules(spark):
+    m = EventModels()
     with pytest.raises(ValueError):
-        hub.add_conversion_event()
+        m.add_conversion_event()
     with pytest.raises(KeyError):
-        hub.conversion("none")
+        m.conversion("none")
     with pytest.raises(ValueError, match="missing"):
-        hub.agg.frequency(spark.range(1))
+        m.agg.frequency(spark.range(1))
     df = spark.createDataFrame([("u", "2024-01-01 00:00:00")], "user_id string, moment string")
     with pytest.raises(ValueError, match="by"):
-        hub.agg.unique_users(df, ["user_id"])
+        m.agg.unique_users(df, ["user_id"])
     with pytest.raises(ValueError, match="type"):
         events.check_frame(df, ["moment"])
-    assert hub.add_conversion_event(event_type="x") == "conversion_1"
+    assert m.add_conversion_event(event_type="x") == "conversion_1"
 
 
 def test_schema():
