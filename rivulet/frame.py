@@ -383,7 +383,7 @@ class Frame:
     def quantile(self, columns: list[str], q: float | list[float] = 0.5) -> Frame:
         """Interpolated quantiles of each group; a list of them adds the index column quantile."""
         qs = q if isinstance(q, list) else [q]
-        out = grouping.aggregate(self.df, list(self.keys), *[grouping.quantile(F.col(c), qs).alias(c) for c in columns])
+        out = grouping.quantiles_by(self.df, list(self.keys), columns, grouping.check_quantiles(qs))
         at = out.select(*self.keys, *columns, F.posexplode(F.array(*[F.lit(x) for x in qs])).alias("_at", "quantile"))
         picks = [F.get(F.col(c), F.col("_at")).alias(c) for c in columns]
         index = (*self.keys, "quantile") if isinstance(q, list) else self.keys

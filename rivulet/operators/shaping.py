@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import grouping
+
 BIN = "struct<lower:double,upper:double,bounds:string>"
 
 
@@ -118,7 +120,7 @@ def cut(df: DataFrame, column: str, bins: int, right: bool = True, name: str = "
 def qcut(df: DataFrame, column: str, q: int | list[float], name: str = "q_range") -> DataFrame:
     """Bins between quantiles, equal edges once, the lowest edge moved down by 0.001."""
     qs = [k / q for k in range(q + 1)] if isinstance(q, int) else list(q)
-    out = _with(df, _q=F.percentile(F.col(column).cast("double"), qs))
+    out = df.crossJoin(F.broadcast(grouping.quantiles(df, [], column, qs, "_q")))  # one row
     edges = F.array_distinct(F.transform("_q", lambda x, i: F.when(i == 0, x - 0.001).otherwise(x)))
     return out.select(*[F.col(f"`{c}`") for c in df.columns], _bin_of(F.col(f"`{column}`"), edges, True).alias(name))
 

@@ -82,8 +82,8 @@ def median_of_text(t):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS q25, round(quantile_cont(l_extendedprice, 0.9), 4) AS q90 FROM lineitem GROUP BY 1")
 def quantiles(t):
-    q = grouping.quantile(F.col("l_extendedprice"), [0.25, 0.9])
-    return t("lineitem").groupBy("l_returnflag").agg(q.alias("q")).select("l_returnflag", F.round(F.col("q")[0], 4).alias("q25"), F.round(F.col("q")[1], 4).alias("q90"))
+    q = grouping.quantiles_by(t("lineitem"), ["l_returnflag"], ["l_extendedprice"], [0.25, 0.9]).withColumnRenamed("l_extendedprice", "q")
+    return q.select("l_returnflag", F.round(F.col("q")[0], 4).alias("q25"), F.round(F.col("q")[1], 4).alias("q90"))
 
 
 @query("SELECT c_nationkey, min(c_mktsegment) AS c_mktsegment_mode FROM (SELECT c_nationkey, c_mktsegment, rank() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC) AS r FROM customer GROUP BY 1, 2) WHERE r = 1 GROUP BY 1")

@@ -10,6 +10,8 @@ MAX_EVENT_AGE_MS = 3_600_000
 #: Columns of an event that are needed, and the types that each event type inherits.
 SCHEMA = "id string, _type string, time long, global_contexts string, location_stack string"
 UTM = ("source", "medium", "campaign", "term", "content", "source_platform", "creative_format", "marketing_tactic")
+#: Folders of events in files: kept, rejected, as they came.
+VERDICTS = ("OK", "NOK", "RAW")
 #: Limits of a request.
 MAX_REQUEST_BYTES, MAX_REQUEST_EVENTS = 1_000_000, 1_000
 
@@ -102,18 +104,37 @@ def reject_reason(now_ms: Column, required: dict[str, list[str]]) -> Column:
 
 
 def split_batch(batch: DataFrame, now_ms: Column, required: dict[str, list[str]], known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(kept, rejected) of a batch: one row for each id, ids that are known already rejected as duplicates."""
+    """(kept, rejected) of a batch: one row for each id, its earliest; ids that are known already are rejected as duplicates.
+
+    Known events are only read for their ids, and are met with the batch's: those are few, so that
+    Spark sends them by their size, and what was kept before isn't shuffled.
+    """
     judged = batch.withColumn("reason", reject_reason(now_ms, required))
-    good = judged.where("reason IS NULL").drop("reason").dropDuplicates(["id"])
+    rows = judged.where("reason IS NULL").drop("reason")
+    earliest = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct("time", "_type", "global_contexts", "location_stack"))
+    good = rows.groupBy(F.col("id").alias("_id")).agg(earliest.alias("_row")).select("_row.*")
     bad = judged.where("reason IS NOT NULL")
     if known is not None:
-        ids = known.select(F.col("id").alias("_known")).distinct()
-        seen = good.join(ids, F.col("id") == F.col("_known"), "left_semi").withColumn("reason", F.lit("duplicate"))
-        bad = bad.unionByName(seen)
-        good = good.join(ids, F.col("id") == F.col("_known"), "left_anti")
+        ids = good.select(F.col("id").alias("_id"))
+        seen = known.select(F.col("id").alias("_known")).join(ids, F.col("_known") == F.col("_id"), "left_semi").distinct()
+        met = good.join(seen, F.col("id") == F.col("_known"), "left")
+        bad = bad.unionByName(met.where("_known IS NOT NULL").drop("_known").withColumn("reason", F.lit("duplicate")))
+        good = met.where("_known IS NULL").drop("_known")
     return good, bad
 
 
+def write_files(events: DataFrame, path: str, verdict: str, arrived_ms: Column | None = None) -> None:
+    """Events as lines of JSON below path/verdict=.../day=..., on any file system that Spark writes to, object stores too.
+
+    verdict: OK, NOK or RAW. The day is that of arrival, now if it isn't given; events without one
+    are kept under Hive's name for null. Files are added to what is there.
+    """
+    if verdict not in VERDICTS:
+        raise ValueError(f"a verdict is one of {VERDICTS}")
+    at = F.current_timestamp() if arrived_ms is None else F.timestamp_millis(arrived_ms)
+    events.withColumns({"verdict": F.lit(verdict), "day": F.to_date(at)}).write.mode("append").partitionBy("verdict", "day").json(path)
+
+
 def start(stream: DataFrame, good_path: str, bad_path: str, checkpoint: str, required: dict[str, list[str]], now_ms: Column | None = None, **trigger):
     """Write a stream of events to two Parquet folders; batches that are run again add nothing twice."""
 

@@ -82,6 +82,28 @@ def test_stream(spark, tmp_path):
     assert reasons == ["duplicate", "in_future", "missing_context", "no_id", "too_old", "unknown_type"]
 
 
+def test_split_of_a_batch(spark):
+    """The earliest of an id stays, whatever the batch's order; known ids are rejected, an empty history rejects none."""
+    rows = [("1", "A", t, "[]", "[]") for t in (30, 10, 20)] + [("2", "A", 5, "[]", "[]"), ("2", "A", 5, "[]", "[]"), ("3", "A", 7, "[]", "[]")]
+    batch = spark.createDataFrame(rows, ingest.SCHEMA).repartition(4)
+    known = spark.createDataFrame([("2", "A", 1, "[]", "[]"), ("9", "A", 1, "[]", "[]")] * 50, ingest.SCHEMA)
+    good, bad = ingest.split_batch(batch, F.lit(100), {"A": []}, known)
+    assert sorted((r.id, r.time) for r in good.collect()) == [("1", 10), ("3", 7)]
+    assert [(r.id, r.reason) for r in bad.collect()] == [("2", "duplicate")]
+    good, bad = ingest.split_batch(batch, F.lit(100), {"A": []}, known.limit(0))
+    assert sorted(r.id for r in good.collect()) == ["1", "2", "3"] and bad.isEmpty()
+
+
+def test_files(spark, tmp_path):
+    events_ = spark.createDataFrame([("1", "A", 86_400_000, "[]", "[]"), ("2", "A", None, "[]", "[]")], ingest.SCHEMA)
+    for verdict in ("OK", "NOK", "OK"):
+        ingest.write_files(events_, str(tmp_path / "out"), verdict, F.col("time"))
+    back = spark.read.json(str(tmp_path / "out"))
+    assert sorted((r.id, r.verdict, str(r.day)) for r in back.collect()) == sorted([("1", v, "1970-01-02") for v in ("OK", "NOK", "OK")] + [("2", v, "None") for v in ("OK", "NOK", "OK")])
+    with pytest.raises(ValueError):
+        ingest.write_files(events_, str(tmp_path), "MAYBE")
+
+
 def test_json(spark):
     text = '[{"a": "b", "c": 1}, {"a": "x"}, {"a": "y", "n": [1, 2]}]'
     df = spark.createDataFrame([(text,), (None,)], "j string")
