@@ -1,9 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Each class has a model of the characters of a word, with interpolated Kneser-Ney smoothing: the
-two highest orders are counted in the class's own documents, and back off to shared orders that
-are counted over all documents, labelled or not, so a rare expression is judged by what both
-classes share. A word's evidence is by how much its log-likelihood under the toxic model exceeds
+highest order counts tokens of the class's own documents, the one below it the characters that
+its sequences follow there, and both back off to shared orders that are counted over all
+documents, labelled or not, so a rare expression is judged by what both classes share. A word's evidence is by how much its log-likelihood under the toxic model exceeds
 that under the ordinary one, beyond a margin that sampling noise rarely passes and up to a
 bound; a document's is normalised by its number of words (a few more, so that one word of a very
 short text doesn't decide). A logistic curve of its square root, fitted on labelled documents
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, lean, release, small_batches, trim
 
-#: Characters of the highest order and of the highest shared order.
-ORDER, SHARED_ORDER = 6, 4
+#: Characters of the highest shared order and of the highest order; a class's own orders are the two above the shared ones.
+SHARED_ORDER = 4
+ORDER = SHARED_ORDER + 2
 DISCOUNT = 0.75
 #: At most so many labelled documents of each class are fitted, those with the smallest hashes.
 MAX_PER_CLASS = 6_000
@@ -46,18 +47,16 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 4 == 2
 
 
-def _grams(words: Counter, sizes: range) -> Counter:
+def _grams(words: Counter, order: int) -> Counter:
     out: Counter = Counter()
     for word, n in words.items():
         padded = START + word + END
         for i in range(2, len(padded) + 1):
-            for k in sizes:
-                if i >= k or k == sizes[-1]:
-                    out[padded[max(0, i - k) : i]] += n
+            out[padded[max(0, i - order) : i]] += n
     return out
 
 
-def _counted(df: DataFrame, sizes: range) -> DataFrame:
+def _counted(df: DataFrame, order: int) -> DataFrame:
     """(kind, gram, n) over (kind, text): partial counts in each task, summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +64,7 @@ def _counted(df: DataFrame, sizes: range) -> DataFrame:
 
         def send() -> Iterator[pa.RecordBatch]:
             for kind, words in held.items():
-                grams = _grams(words, sizes)
+                grams = _grams(words, order)
                 keys = list(grams)
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.int32()), pa.array(keys, pa.string()), pa.array([grams[k] for k in keys], pa.int64())], names=["kind", "gram", "n"])
             held.clear()
@@ -89,7 +88,7 @@ def _ending(gram: str) -> str:
 def _shared_counts(texts: DataFrame, endings: set[str]) -> tuple[dict[str, tuple], float]:
     """Shared counts of the endings and their own endings, {gram: (n, total of its context, types of its context)}, and the floor."""
     spark = texts.sparkSession
-    level = checkpoint(_counted(texts.select(F.lit(0).alias("kind"), "text"), range(SHARED_ORDER, SHARED_ORDER + 1)).select("gram", "n"))
+    level = checkpoint(_counted(texts.select(F.lit(0).alias("kind"), "text"), SHARED_ORDER).select("gram", "n"))
     wanted = spark.createDataFrame(pa.table({"w": pa.array(sorted(endings), pa.string())}))
     found = []
     for k in range(SHARED_ORDER, 0, -1):
@@ -123,9 +122,8 @@ class KneserNey:
         self.own: list[dict[str, float]] = [{} for _ in own]
         self.own_rest: list[dict[str, float]] = [{} for _ in own]
         for c, grams in enumerate(own):
-            for k in range(SHARED_ORDER + 1, ORDER + 1):
-                at = {g: n for g, n in grams.items() if len(g) == k or (len(g) < k and g[0] == START and k == ORDER)}
-                self._add(at, c)
+            self._add(Counter(g[1:] for g in grams if len(g) == ORDER), c)  # types before a sequence, not its tokens
+            self._add(grams, c)
             grams.clear()  # the counts are used up
         # Where neither class holds a sequence the ratio is that of their rests times that of its ending.
         self.ratio = {g: self._compared(g) for probs in self.own for g in probs}
@@ -250,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("text"))
     sample = texts.join(F.broadcast(chosen), F.col("_i") == F.col("_l"))
     kept_out = F.pmod(F.xxhash64(F.concat(F.lit("curve:"), F.col("_i").cast("string"))), F.lit(HELD)) == 0
-    own_rows = _counted(sample.where(~kept_out).select("kind", "text"), range(SHARED_ORDER + 1, ORDER + 1)).toArrow()
+    own_rows = _counted(sample.where(~kept_out).select("kind", "text"), ORDER).toArrow()
     own: list[dict[str, int]] = [{}, {}]
     for batch in own_rows.to_batches(max_chunksize=10_000):
         for kind, gram, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "gram", "n")), strict=True):

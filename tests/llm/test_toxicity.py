@@ -23,11 +23,10 @@ def test_held_out_english(spark):
 
 def plain(own_words, all_words):
     """The evidence of a word with every count in whole tables; END and START as in the module."""
-    shared = {4: toxicity._grams(all_words, range(4, 5))}
+    shared = {4: toxicity._grams(all_words, 4)}
     for k in (3, 2, 1):
         shared[k] = Counter(g[-k:] for g in shared[k + 1])
-    grams = [toxicity._grams(w, range(5, 7)) for w in own_words]
-    tables = [{5: {g: n for g, n in x.items() if len(g) == 5}, 6: {g: n for g, n in x.items() if len(g) == 6 or g[0] == toxicity.START}} for x in grams]
+    tables = [{6: x, 5: Counter(g[1:] for g in x if len(g) == 6)} for x in (toxicity._grams(w, 6) for w in own_words)]
 
     def smoothed(table, g, lower):
         seen = [n for h, n in table.items() if h[:-1] == g[:-1]]
