@@ -91,7 +91,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col:
     """
     items = benchmark.select(F.col(item_col).alias("_item"), word_codes(F.col(item_text_col)).alias("_codes")).where(F.size("_codes") > 0)
     items = items.withColumn("_own", _own_shingles(F.col("_codes"))).withColumn("_n", F.size("_codes"))
-    items = checkpoint(items.withColumn("_bits", simhash(F.col("_own"))).dropDuplicates(["_item", "_codes"]))
+    items = items.withColumn("_bits", simhash(F.col("_own"))).dropDuplicates(["_item", "_codes"])
+    items = checkpoint(items.withColumn("_key", F.monotonically_increasing_id()))  # fixed by the table that is written
     size = items.agg(F.sum(F.size("_own"))).first()[0] or 0
     small = (lambda df: F.broadcast(df)) if size <= BROADCAST_SHINGLES else (lambda df: df)
     widths = [r[0] for r in items.select(F.least("_n", F.lit(SHINGLE_WORDS)).alias("w")).distinct().collect()]  # at most SHINGLE_WORDS numbers
@@ -123,14 +124,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, id_col:
     # Behind a checkpoint, so that no filter of the join below is moved under the fingerprints and computes them again.
     windows = checkpoint(windows.withColumn("_print", simhash(F.col("_shingles"))))
 
-    index = items.select("_item", "_n", F.col("_own").alias("_other"), "_bits", _blocks(F.col("_bits")).alias("_ibs"))
-    index = index.select("*", F.posexplode_outer("_ibs").alias("_ib", "_iv"))
-    blocks = windows.select("_id", "_size", "_start", "_shingles", "_print", _blocks(F.col("_print")).alias("_wbs"))
-    blocks = blocks.select("*", F.posexplode_outer("_wbs").alias("_wb", "_wv"))
+    # The index holds numbers only; an item's shingles are fetched once for those within the radius.
+    index = items.select("_key", "_n", "_bits", F.posexplode_outer(_blocks(F.col("_bits"))).alias("_ib", "_iv"))
+    blocks = windows.select("_id", "_size", "_start", "_shingles", "_print", F.posexplode_outer(_blocks(F.col("_print"))).alias("_wb", "_wv"))
     hits = blocks.join(small(index), (F.col("_size") == F.col("_n")) & (F.col("_wb") == F.col("_ib")) & (F.col("_wv") == F.col("_iv")))
     # A window and an item that agree on several blocks are taken at the first of them.
-    first = F.array_position(F.zip_with("_wbs", "_ibs", lambda x, y: x == y), F.lit(True)) - 1
-    hits = hits.where((F.col("_wb") == first) & (F.bit_count(F.col("_print").bitwiseXOR(F.col("_bits"))) <= RADIUS))
+    differ = F.col("_print").bitwiseXOR(F.col("_bits"))
+    first = F.array_position(_blocks(differ), F.lit(0).cast("long")) - 1
+    hits = hits.where((F.bit_count(differ) <= RADIUS) & (F.col("_wb") == first))
+    hits = hits.join(small(items.select("_key", "_item", F.col("_own").alias("_other"))), "_key")
     low, high = weighted_similarity(F.col("_shingles"), F.col("_other"))
     scored = hits.select("_id", "_item", "_start", "_size", low.alias("_low"), high.alias("_high")).where(F.col("_low") * 100 >= F.col("_high") * percent)
     best = F.max(F.struct((F.col("_low") / F.col("_high")).alias("s"), (-F.col("_start")).alias("at"), F.col("_size").alias("n"))).alias("_best")
