@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE_CODES, checkpoint, mixed, release, small_batches
+from .common import _BYTE_CODES, checkpoint, mixed, release, small_batches, trim
 from .jaccard_join import _n_parts
 
 LENGTH, SEED = 50, 24
@@ -283,9 +283,15 @@ def _ends(bucket: np.ndarray, doc: np.ndarray, text: np.ndarray, left: np.ndarra
     return out_left, out_right
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Lists of (documents, positions, hashes, hashes of surroundings), about FLUSH anchors at a time."""
+def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Lists of documents, positions, hashes and hashes of surroundings, about FLUSH anchors at a time; who takes a list empties it."""
     held, size = [], 0
+
+    def joined() -> list[np.ndarray]:
+        out = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held.clear()
+        return out
+
     for batch in batches:
         for i, begin, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode("utf-8", "surrogatepass") if text else b""
@@ -294,23 +300,26 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                     held.append((np.full(len(at), i, np.int64), at + begin, h, around))
                     size += len(at)
                     if size >= FLUSH:
-                        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                        held, size = [], 0
+                        size = 0
+                        yield joined()
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        yield joined()
 
 
 def _hot_seeds(texts: DataFrame) -> np.ndarray:
     """Sorted hashes of the seeds that very many anchors have."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, h, around in _anchored(batches):
+        for found in _anchored(batches):
+            _, _, h, around = found
+            found.clear()
             order = np.lexsort((around, h))
             h, around = h[order], around[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1])
             seeds, n = np.unique(h[new], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+        trim()
 
     some = texts.where(F.pmod(F.xxhash64("_d"), F.lit(SEED_SAMPLE)) == 0).select("_d", "_o", "_t")
     counts = some.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > MOST_OF_SEED // SEED_SAMPLE)
@@ -326,26 +335,31 @@ def _sampled(texts: DataFrame, parts: int, wide: bool) -> DataFrame:
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = given.value
 
-        def send(doc: np.ndarray, pos: np.ndarray, h: np.ndarray, around: np.ndarray) -> pa.RecordBatch:
-            order = np.lexsort((pos, doc, around, h))
-            doc, pos, h, around = doc[order], pos[order], h[order], around[order]
+        def send(found: list[np.ndarray]) -> pa.RecordBatch:
+            order = np.lexsort((found[1], found[0], found[3], found[2]))
+            around, h, pos, doc = (found.pop()[order] for _ in range(4))
+            del order
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1])
             first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             known = doc > first  # an earlier document of this batch has the same surroundings
+            settled = np.empty(known.sum(), place)
+            settled["doc"], settled["pos"] = doc[known], pos[known]
+            rows = np.empty((~known).sum(), anchor)
+            rows["doc"], rows["pos"] = doc[~known], pos[~known]
+            del doc, pos
+            h, around = h[~known], around[~known]
+            rows["around"] = _big_endian(around, AROUND_BYTES)
             scaled = (h >> np.uint64(32)) * np.uint64(parts)
             part, sig = (scaled >> np.uint64(32)).astype(np.int64), (scaled & np.uint64(0xFFFFFFFF)) << np.uint64(8) | mixed(h) >> np.uint64(56)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
                 is_hot = hot[at] == h
                 sig[is_hot], part[is_hot] = at[is_hot], ~(mixed(around[is_hot]) % np.uint64(parts)).astype(np.int64)
+            rows["sig"] = _big_endian(sig, SIG_BYTES)
+            del h, around, scaled, sig
             names, kinds, blobs = [], [], []
-            rows = np.empty((~known).sum(), anchor)
-            rows["sig"] = _big_endian(sig[~known], SIG_BYTES)
-            rows["around"], rows["doc"], rows["pos"] = _big_endian(around[~known], AROUND_BYTES), doc[~known], pos[~known]
-            settled = np.empty(known.sum(), place)
-            settled["doc"], settled["pos"] = doc[known], pos[known]
-            for kind, to, data in ((False, part[~known], rows), (True, mixed(settled["doc"].astype(np.uint64)) % np.uint64(parts), settled)):
+            for kind, to, data in ((False, part, rows), (True, mixed(settled["doc"].astype(np.uint64)) % np.uint64(parts), settled)):
                 by = np.argsort(to, kind="stable")
                 to, data = to[by], data[by]
                 cuts = [*np.flatnonzero(to[1:] != to[:-1]) + 1, len(to)] if len(to) else []
@@ -356,7 +370,8 @@ def _sampled(texts: DataFrame, parts: int, wide: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(kinds, pa.bool_()), pa.array(blobs, pa.binary())], names=["part", "settled", "rows"])
 
         for found in _anchored(batches):
-            yield send(*found)
+            yield send(found)
+        trim()
 
     return texts.select("_d", "_o", "_t").mapInArrow(sample, "part long, settled boolean, rows binary")
 
