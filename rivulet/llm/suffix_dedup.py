@@ -6,9 +6,7 @@ start suffixes of one bucket (same first q bytes) that agree far enough to both
 
 1. Anchors are dealt to buckets by hash. One whose whole surroundings (the bytes that any window
    over it can reach) also lie in an earlier document settles all its windows at once. Here equal
-   hashes stand for equal bytes: 48 bits of the surroundings, and at least 46 of the bucket. Those
-   of a seed that very many anchors have are dealt by their surroundings instead, and all that
-   aren't settled are left to step 3.
+   hashes stand for equal bytes: 48 bits of the surroundings, and at least 46 of the bucket.
 2. Only anchors at the ends of repeats are left. Their surroundings are fetched, and each bucket's
    suffixes are ordered by deep-shallow sorting: multikey quicksort over 8-byte characters to a
    shallow depth, then blind tries for the groups that still agree. The LCP array gives how far
@@ -31,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE_CODES, checkpoint, mixed, release, small_batches, trim
+from .common import _BYTE_CODES, checkpoint, mixed, release, small_batches
 from .jaccard_join import _n_parts
 
 LENGTH, SEED = 50, 24
@@ -44,9 +42,6 @@ SIG_BYTES, AROUND_BYTES = 5, 6
 MOST_SORTED = 256
 #: Suffixes that a task sorts at once, and those of a partition.
 AT_ONCE, PER_PARTITION = 8192, 100_000
-#: A seed with more anchors of different surroundings (about 20 bytes each) isn't gathered in its partition. Found by
-#: the texts of one id in SEED_SAMPLE, and at most HOT_SEEDS are sent: this decides where anchors meet, not which ones do.
-MOST_OF_SEED, SEED_SAMPLE, HOT_SEEDS = 1 << 20, 64, 1 << 16
 #: Bytes between the texts of one id.
 GAP = 4 * LENGTH
 #: Bytes hashed at a time; texts are cut into overlapping pieces of this size.
@@ -283,95 +278,50 @@ def _ends(bucket: np.ndarray, doc: np.ndarray, text: np.ndarray, left: np.ndarra
     return out_left, out_right
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Lists of documents, positions, hashes and hashes of surroundings, about FLUSH anchors at a time; who takes a list empties it."""
-    held, size = [], 0
-
-    def joined() -> list[np.ndarray]:
-        out = [np.concatenate(x) for x in zip(*held, strict=True)]
-        held.clear()
-        return out
-
-    for batch in batches:
-        for i, begin, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = text.encode("utf-8", "surrogatepass") if text else b""
-            if i is not None and len(raw) >= LENGTH:
-                for at, h, around in anchors(raw):
-                    held.append((np.full(len(at), i, np.int64), at + begin, h, around))
-                    size += len(at)
-                    if size >= FLUSH:
-                        size = 0
-                        yield joined()
-    if held:
-        yield joined()
-
-
-def _hot_seeds(texts: DataFrame) -> np.ndarray:
-    """Sorted hashes of the seeds that very many anchors have."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _anchored(batches):
-            _, _, h, around = found
-            found.clear()
-            order = np.lexsort((around, h))
-            h, around = h[order], around[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1])
-            seeds, n = np.unique(h[new], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-        trim()
-
-    some = texts.where(F.pmod(F.xxhash64("_d"), F.lit(SEED_SAMPLE)) == 0).select("_d", "_o", "_t")
-    counts = some.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > MOST_OF_SEED // SEED_SAMPLE)
-    found = counts.orderBy(F.desc("n"), "h").limit(HOT_SEEDS).select("h").toArrow()
-    return np.sort(found.column("h").to_numpy().view(np.uint64))
-
-
 def _sampled(texts: DataFrame, parts: int, wide: bool) -> DataFrame:
-    """(part, settled, rows): anchors by bucket partition, those of hot seeds by surroundings (part < 0), and settled ones by document."""
+    """(part, settled, rows): anchors by bucket partition, and settled ones by document."""
     anchor, place = _anchor(wide)
-    given = texts.sparkSession.sparkContext.broadcast(_hot_seeds(texts))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = given.value
+        held, size = [], 0
 
-        def send(found: list[np.ndarray]) -> pa.RecordBatch:
-            order = np.lexsort((found[1], found[0], found[3], found[2]))
-            around, h, pos, doc = (found.pop()[order] for _ in range(4))
-            del order
+        def send() -> pa.RecordBatch:
+            doc, pos, h, around = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((pos, doc, around, h))
+            doc, pos, h, around = doc[order], pos[order], h[order], around[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1])
             first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             known = doc > first  # an earlier document of this batch has the same surroundings
-            settled = np.empty(known.sum(), place)
-            settled["doc"], settled["pos"] = doc[known], pos[known]
-            rows = np.empty((~known).sum(), anchor)
-            rows["doc"], rows["pos"] = doc[~known], pos[~known]
-            del doc, pos
-            h, around = h[~known], around[~known]
-            rows["around"] = _big_endian(around, AROUND_BYTES)
             scaled = (h >> np.uint64(32)) * np.uint64(parts)
-            part, sig = (scaled >> np.uint64(32)).astype(np.int64), (scaled & np.uint64(0xFFFFFFFF)) << np.uint64(8) | mixed(h) >> np.uint64(56)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                is_hot = hot[at] == h
-                sig[is_hot], part[is_hot] = at[is_hot], ~(mixed(around[is_hot]) % np.uint64(parts)).astype(np.int64)
-            rows["sig"] = _big_endian(sig, SIG_BYTES)
-            del h, around, scaled, sig
             names, kinds, blobs = [], [], []
-            for kind, to, data in ((False, part, rows), (True, mixed(settled["doc"].astype(np.uint64)) % np.uint64(parts), settled)):
-                by = np.argsort(to, kind="stable")
-                to, data = to[by], data[by]
-                cuts = [*np.flatnonzero(to[1:] != to[:-1]) + 1, len(to)] if len(to) else []
+            rows = np.empty((~known).sum(), anchor)
+            rows["sig"] = _big_endian(((scaled & np.uint64(0xFFFFFFFF)) << np.uint64(8) | mixed(h) >> np.uint64(56))[~known], SIG_BYTES)
+            rows["around"], rows["doc"], rows["pos"] = _big_endian(around[~known], AROUND_BYTES), doc[~known], pos[~known]
+            settled = np.empty(known.sum(), place)
+            settled["doc"], settled["pos"] = doc[known], pos[known]
+            for kind, part, data in ((False, (scaled >> np.uint64(32))[~known], rows), (True, mixed(settled["doc"].astype(np.uint64)) % np.uint64(parts), settled)):
+                by = np.argsort(part, kind="stable")
+                part, data = part[by], data[by]
+                cuts = [*np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)] if len(part) else []
                 for a, b in zip([0, *cuts], cuts, strict=False):
-                    names.append(int(to[a]))
+                    names.append(int(part[a]))
                     kinds.append(kind)
                     blobs.append(data[a:b].tobytes())
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(kinds, pa.bool_()), pa.array(blobs, pa.binary())], names=["part", "settled", "rows"])
 
-        for found in _anchored(batches):
-            yield send(found)
-        trim()
+        for batch in batches:
+            for i, begin, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = text.encode("utf-8", "surrogatepass") if text else b""
+                if i is not None and len(raw) >= LENGTH:
+                    for at, h, around in anchors(raw):
+                        held.append((np.full(len(at), i, np.int64), at + begin, h, around))
+                        size += len(at)
+                        if size >= FLUSH:
+                            yield send()
+                            held, size = [], 0
+        if held:
+            yield send()
 
     return texts.select("_d", "_o", "_t").mapInArrow(sample, "part long, settled boolean, rows binary")
 
@@ -398,10 +348,10 @@ def _bucketed(wide: bool):
             kind[1:] |= around[1:] != around[:-1]
             settled = doc > doc[np.flatnonzero(kind)][np.cumsum(kind) - 1]
             several = (np.add.reduceat(kind.astype(np.int64), start) > 1)[np.cumsum(new) - 1]
-            left = ~settled & ((shared & several) | (part < 0))
+            left = shared & several & ~settled
         else:
             settled = left = np.zeros(0, bool)
-        bucket = ~sig[left].view(np.int64) if part < 0 else (sig[left] | np.uint64(part << (8 * SIG_BYTES))).view(np.int64)
+        bucket = (sig[left] | np.uint64(part << (8 * SIG_BYTES))).view(np.int64)
         return pa.table({
             "doc": np.concatenate([done["doc"], doc[settled], doc[left]]),
             "pos": np.concatenate([done["pos"], pos[settled], pos[left]]).astype(np.int64),

@@ -67,18 +67,6 @@ def test_large_buckets_and_small_pieces(spark, monkeypatch):
     check(spark, pieces(3, 120))
 
 
-def test_hot_seeds(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "MOST_OF_SEED", 2)
-    monkeypatch.setattr(suffix_dedup, "SEED_SAMPLE", 1)
-    monkeypatch.setattr(suffix_dedup, "MOST_SORTED", 16)
-    rng = random.Random(5)
-    seed = "the same words in very many different places: "
-    around = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(0, 40)))
-    texts = pieces(4, 60) + [around() + seed + around() for _ in range(150)] + ["ab" * 60, "ab" * 60]
-    assert len(suffix_dedup._hot_seeds(suffix_dedup._texts(docs(spark, texts), "doc_id", "text")[1])) > 5
-    check(spark, texts)
-
-
 def test_awkward_and_real_texts(spark):
     rows = read(spark, SF, "documents").select("text").collect()
     check(spark, [r[0] for r in rows] + AWKWARD + ["same " * 30, "same " * 30])
