@@ -28,14 +28,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+#: Rows of a table of numbers that go to one file at least.
+ROWS_A_FILE = 1 << 17
+
+
+def checkpoint(df: DataFrame, most: int | None = None, each: int = ROWS_A_FILE) -> DataFrame:
     """Cut the lineage through a table in the folder that spark.checkpoint.dir names, which outlives executors.
 
     A folder of our own is set only where the session names none and runs in one process (tests);
     on a cluster a RuntimeError asks for a shared one. The
     tables are compressed, so they take a fraction of what an RDD's checkpoint does; they are
     removed when the driver ends.
+
+    most: what the table's rows, or those read for it, are at most, where the caller knows; it is
+    then written by a task for `each` of them, not by one for each shuffle partition. A local file
+    costs the executor's JVM two processes (chmod for it and for its checksum), each of which is
+    the whole JVM until it has begun.
     """
+    if most is not None:
+        df = df.coalesce(most // each + 1)
     spark = df.sparkSession
     context = spark.sparkContext
     folder = context._jsc.sc().getCheckpointDir()

@@ -49,6 +49,8 @@ BROADCAST_IDS = 200_000
 BYTES_PER_PART = 1 << 20
 #: Bytes of a signature that are sent besides its partition; a chance match is ruled out later.
 SIG_BYTES = 5
+#: Classes that a task reads at least where their sketches are sent, and pairs whose sets are.
+CLASSES_A_FILE, PAIRS_A_FILE = 1 << 13, 1 << 12
 #: Words of the parity sketch that is compared inside the join.
 WORDS = 8
 #: Signatures of a class that are carried along to find a pair's first common one.
@@ -316,7 +318,7 @@ def shared_signatures(docs: DataFrame, text_col: str, width: int, percent: int,
     return blobs.groupBy("part").applyInArrow(met, "sig long, node long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, n_classes: int, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar."""
     sizes = classes.select("node", "n", "sketch", "_id")
 
@@ -331,11 +333,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
     kind = classes.schema["_id"].dataType.simpleString()
     with_a = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("_id").alias("ia")), "a")
     with_b = with_a.join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("_id").alias("ib")), "b")
-    left = checkpoint(with_b.select("a", "b", "na", "nb", "sa", "sb", "ia", "ib").mapInArrow(possible, f"a long, b long, ia {kind}, ib {kind}"))
-    if left.isEmpty():
+    left = checkpoint(with_b.select("a", "b", "na", "nb", "sa", "sb", "ia", "ib").mapInArrow(possible, f"a long, b long, ia {kind}, ib {kind}"), max(n_classes, pairs.count()), CLASSES_A_FILE)
+    n = left.count()
+    if not n:
         return left.select("a", "b")
     ids = left.select(F.col("ia").alias("_i"), F.col("a").alias("_n")).unionByName(left.select(F.col("ib").alias("_i"), F.col("b").alias("_n"))).distinct()
-    ids = checkpoint(ids)
+    ids = checkpoint(ids, 2 * n)
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(wanted, "_i").select("_n", "_t")
 
@@ -359,7 +362,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = left.select("a", "b").join(full.select(F.col("_n").alias("b"), F.col("features").alias("fb")), "b").join(full.select(F.col("_n").alias("a"), F.col("features").alias("fa")), "a")
-    return checkpoint(joined.select("a", "b", "fa", "fb").mapInArrow(lean(decided), "a long, b long"))
+    return checkpoint(joined.select("a", "b", "fa", "fb").mapInArrow(lean(decided), "a long, b long"), n, PAIRS_A_FILE)
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, width: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,15 +381,18 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = SHINGLE_
     frequent = spark.sparkContext.broadcast([r[0] for r in top.select("frequent").collect()])
     each = rows.where("frequent IS NULL").drop("frequent")
     classes = each.where("node IS NOT NULL AND _id IS NOT NULL").groupBy("node").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("words").alias("words"))
-    classes = checkpoint(classes)
+    classes = checkpoint(classes, each.count(), CLASSES_A_FILE)
+    n_classes = classes.count()
     release(spark)
     shared = checkpoint(shared_signatures(docs.where(F.col(id_col).isNotNull()), text_col, width, percent, frequent))
+    n_shared = shared.count()
     release(spark)
 
     centre = shared.groupBy("sig").agg(F.min("node").alias("a"))
     stars = shared.join(centre, "sig").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
-    first = _verified(checkpoint(stars), classes, docs, id_col, text_col, width, percent)
-    found = checkpoint(connected_components(first))
+    first = _verified(checkpoint(stars, n_shared), classes, n_classes, docs, id_col, text_col, width, percent)
+    n_first = first.count()
+    found = connected_components(first, most=n_first)
     release(spark)
     # Where a signature's classes are still apart, they are compared across components.
     labelled = shared.join(found.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
@@ -396,7 +402,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = SHINGLE_
     order = Window.partitionBy("node").orderBy(F.desc("size"), "sig")
     apart = labelled.join(apart, "sig").select("sig", "node", "c", "size").distinct()
     apart = apart.withColumn("place", F.row_number().over(order)).withColumn("first", F.collect_list(F.when(F.col("place") <= CARRIED, F.col("sig"))).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    apart = checkpoint(apart.select("sig", "node", "c", "first"))
+    apart = checkpoint(apart.select("sig", "node", "c", "first"), n_shared)
     info = classes.select("node", "n", *[F.get("words", k).alias(f"w{k}") for k in range(WORDS)])
     apart = apart.join(info, "node")
     x, y = (apart.select(*[F.col(c).alias(c if c == "sig" else f"{side}{c}") for c in apart.columns]) for side in "xy")
@@ -406,9 +412,10 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = SHINGLE_
     new = ~F.arrays_overlap("xfirst", "yfirst")
     across = x.join(y, (x["sig"] == y["sig"]) & (F.col("xnode") < F.col("ynode")) & (F.col("xc") != F.col("yc")) & possible & new)
     across = across.select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct()
-    second = _verified(checkpoint(across), classes, docs, id_col, text_col, width, percent)
-    if not second.isEmpty():
-        found = checkpoint(connected_components(first.unionByName(second)))
+    second = _verified(checkpoint(across), classes, n_classes, docs, id_col, text_col, width, percent)
+    n_second = second.count()
+    if n_second:
+        found = connected_components(first.unionByName(second), most=n_first + n_second)
     # Components carry their smallest id; classes without links are their own.
     named = classes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "_id")
     smallest = named.groupBy("c").agg(F.min("_id").alias("component_id"))

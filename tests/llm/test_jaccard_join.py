@@ -2,12 +2,15 @@
 
 import random
 import re
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 
 from rivulet.llm import jaccard_join
-from rivulet.llm.common import read
+from rivulet.llm.common import checkpoint, read
+from rivulet.llm.components import connected_components
 
 from .data import AWKWARD, SF, docs
 
@@ -137,3 +140,30 @@ def test_signatures_of_similar_sets(percent):
         some = own[rng.random(len(own)) < rng.choice([0, 0.5, 0.95])]
         common = jaccard_join.Frequent(some) if len(some) else (lambda h: np.zeros(len(h), bool))
         assert len(np.intersect1d(*(jaccard_join.signatures(s, common, percent) for s in (own, other))))
+
+
+def files_written(spark, work):
+    """Part files of each checkpointed table that work writes while there are many shuffle partitions."""
+    checkpoint(spark.range(1))  # the folder is there now
+    folder = Path(urlparse(spark.sparkContext._jsc.sc().getCheckpointDir().get()).path)
+    old, conf = set(folder.iterdir()), {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        work()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    return sorted(len(list(t.glob("part-*"))) for t in set(folder.iterdir()) - old)
+
+
+def test_small_tables_are_few_files(spark):
+    """Each local file costs an executor two processes: what is known to be small isn't dealt to a file a shuffle partition."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000 + k, 2000) for k in range(100)], "a long, b long")
+    found = {}
+    files = files_written(spark, lambda: found.update((r.node, r.component) for r in connected_components(links, most=400).collect()))
+    assert found == {k: 0 for k in range(1, 301)} | {k: 1000 for k in [*range(1001, 1100), 2000]}
+    assert set(files) == {1}
+    files = files_written(spark, lambda: check(spark, near_copies(10, 60, 300)))
+    assert sum(n > 1 for n in files) <= 3, files  # rows by document, shared signatures, pairs across components
