@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,7 @@ def release(spark: SparkSession) -> None:
 def trim() -> None:
     """Give memory that was freed back to the system: a worker that waits would keep it otherwise."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
         ctypes.CDLL(None).malloc_trim(0)
 

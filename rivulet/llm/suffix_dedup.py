@@ -29,19 +29,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE_CODES, checkpoint, mixed, release, small_batches
+from .common import _BYTE_CODES, checkpoint, lean, mixed, release, small_batches, trim
 from .jaccard_join import _n_parts
 
 LENGTH, SEED = 50, 24
 REACH = LENGTH - SEED  # bytes on either side that a window over an anchor can hold
 #: Anchors that a task gathers before it sends them.
 FLUSH = 1 << 21
+#: Partitions' anchors that are sent in one batch.
+BLOBS = 64
 #: Bytes of a hash sent besides its bucket's partition, and of the hash of an anchor's surroundings.
 SIG_BYTES, AROUND_BYTES = 5, 6
 #: Suffixes of a bucket that are sorted in one place; larger buckets are split by a pivot.
 MOST_SORTED = 256
 #: Suffixes that a task sorts at once, and those of a partition.
 AT_ONCE, PER_PARTITION = 8192, 100_000
+#: Anchors of a partition after which a worker gives its memory back; suffixes that a task reads at least.
+LARGE, SUFFIXES_A_FILE = 1 << 18, 1 << 15
 #: Bytes between the texts of one id.
 GAP = 4 * LENGTH
 #: Bytes hashed at a time; texts are cut into overlapping pieces of this size.
@@ -282,34 +286,40 @@ def _sampled(texts: DataFrame, parts: int, wide: bool) -> DataFrame:
     """(part, settled, rows): anchors by bucket partition, and settled ones by document."""
     anchor, place = _anchor(wide)
 
+    def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """What a task sends of the anchors it holds; the list is emptied, and arrays go as soon as they can."""
+        found = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held.clear()
+        order = np.lexsort((found[1], found[0], found[3], found[2]))
+        around, h, pos, doc = (found.pop()[order] for _ in range(4))
+        del order
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1])
+        known = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]  # an earlier document of this batch has the same surroundings
+        settled = np.empty(known.sum(), place)
+        settled["doc"], settled["pos"] = doc[known], pos[known]
+        rows = np.empty(len(known) - len(settled), anchor)
+        rows["doc"], rows["pos"], rows["around"] = doc[~known], pos[~known], _big_endian(around[~known], AROUND_BYTES)
+        del doc, pos, around
+        h = h[~known]
+        scaled = (h >> np.uint64(32)) * np.uint64(parts)
+        rows["sig"] = _big_endian((scaled & np.uint64(0xFFFFFFFF)) << np.uint64(8) | mixed(h) >> np.uint64(56), SIG_BYTES)
+        todo = [(True, mixed(settled["doc"].astype(np.uint64)) % np.uint64(parts), settled), (False, scaled >> np.uint64(32), rows)]
+        del h, scaled, settled, rows
+        while todo:
+            kind, part, data = todo.pop()
+            by = np.argsort(part, kind="stable")
+            part, data = part[by], data[by]
+            cuts = [*np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)] if len(part) else []
+            if cuts:
+                offsets = np.array([0, *cuts]) * data.dtype.itemsize
+                blobs = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                for k in range(0, len(cuts), BLOBS):
+                    names = part[[0, *cuts][k : min(k + BLOBS, len(cuts))]].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), kind)), blobs[k : k + BLOBS].cast(pa.binary())], names=["part", "settled", "rows"])
+
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-
-        def send() -> pa.RecordBatch:
-            doc, pos, h, around = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((pos, doc, around, h))
-            doc, pos, h, around = doc[order], pos[order], h[order], around[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1])
-            first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            known = doc > first  # an earlier document of this batch has the same surroundings
-            scaled = (h >> np.uint64(32)) * np.uint64(parts)
-            names, kinds, blobs = [], [], []
-            rows = np.empty((~known).sum(), anchor)
-            rows["sig"] = _big_endian(((scaled & np.uint64(0xFFFFFFFF)) << np.uint64(8) | mixed(h) >> np.uint64(56))[~known], SIG_BYTES)
-            rows["around"], rows["doc"], rows["pos"] = _big_endian(around[~known], AROUND_BYTES), doc[~known], pos[~known]
-            settled = np.empty(known.sum(), place)
-            settled["doc"], settled["pos"] = doc[known], pos[known]
-            for kind, part, data in ((False, (scaled >> np.uint64(32))[~known], rows), (True, mixed(settled["doc"].astype(np.uint64)) % np.uint64(parts), settled)):
-                by = np.argsort(part, kind="stable")
-                part, data = part[by], data[by]
-                cuts = [*np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)] if len(part) else []
-                for a, b in zip([0, *cuts], cuts, strict=False):
-                    names.append(int(part[a]))
-                    kinds.append(kind)
-                    blobs.append(data[a:b].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(kinds, pa.bool_()), pa.array(blobs, pa.binary())], names=["part", "settled", "rows"])
-
         for batch in batches:
             for i, begin, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode("utf-8", "surrogatepass") if text else b""
@@ -318,12 +328,12 @@ def _sampled(texts: DataFrame, parts: int, wide: bool) -> DataFrame:
                         held.append((np.full(len(at), i, np.int64), at + begin, h, around))
                         size += len(at)
                         if size >= FLUSH:
-                            yield send()
-                            held, size = [], 0
+                            yield from send(held)
+                            size = 0
         if held:
-            yield send()
+            yield from send(held)
 
-    return texts.select("_d", "_o", "_t").mapInArrow(sample, "part long, settled boolean, rows binary")
+    return texts.select("_d", "_o", "_t").mapInArrow(lean(sample), "part long, settled boolean, rows binary")
 
 
 def _bucketed(wide: bool):
@@ -332,12 +342,17 @@ def _bucketed(wide: bool):
 
     def of(group: pa.Table) -> pa.Table:
         part = group.column("part")[0].as_py()
-        kinds, blobs = group.column("settled").to_pylist(), group.column("rows").to_pylist()
-        rows = np.frombuffer(b"".join(b for b, k in zip(blobs, kinds, strict=True) if not k), anchor)
-        done = np.frombuffer(b"".join(b for b, k in zip(blobs, kinds, strict=True) if k), place)
-        sig, around, doc, pos = _number(rows["sig"]), _number(rows["around"]), rows["doc"], rows["pos"]
+        kinds, blobs = group.column("settled").to_pylist(), group.column("rows")
+        rows = np.frombuffer(b"".join(b.as_buffer() for b, k in zip(blobs, kinds, strict=True) if not k), anchor)
+        done = np.frombuffer(b"".join(b.as_buffer() for b, k in zip(blobs, kinds, strict=True) if k), place)
+        sig, around, doc = _number(rows["sig"]), _number(rows["around"]), rows["doc"]
         order = np.lexsort((doc, around, sig))
-        sig, around, doc, pos = sig[order], around[order], doc[order], pos[order]
+        sig = sig[order]
+        around = around[order]
+        doc = doc[order]
+        pos = rows["pos"][order]
+        large = len(rows) > LARGE
+        del order, rows
         if len(sig):
             new = np.ones(len(sig), bool)
             new[1:] = sig[1:] != sig[:-1]
@@ -346,12 +361,16 @@ def _bucketed(wide: bool):
             shared = shared[np.cumsum(new) - 1]
             kind = new.copy()
             kind[1:] |= around[1:] != around[:-1]
+            del around
             settled = doc > doc[np.flatnonzero(kind)][np.cumsum(kind) - 1]
             several = (np.add.reduceat(kind.astype(np.int64), start) > 1)[np.cumsum(new) - 1]
             left = shared & several & ~settled
         else:
             settled = left = np.zeros(0, bool)
         bucket = (sig[left] | np.uint64(part << (8 * SIG_BYTES))).view(np.int64)
+        del sig
+        if large:
+            trim()
         return pa.table({
             "doc": np.concatenate([done["doc"], doc[settled], doc[left]]),
             "pos": np.concatenate([done["pos"], pos[settled], pos[left]]).astype(np.int64),
@@ -496,18 +515,19 @@ def repeated_ranges(texts: DataFrame, wide: bool) -> DataFrame:
     found = rows.where("bucket IS NULL").selectExpr("doc", f"pos - {REACH} AS low", f"pos + {LENGTH} AS high")
     wanted = rows.where("bucket IS NOT NULL").groupBy(F.col("doc").alias("_w")).agg(F.collect_list(F.struct("pos", "bucket")).alias("x"))
     fetched = texts.where(F.octet_length("_t") >= LENGTH).join(wanted, F.col("_d") == F.col("_w")).select("_d", "_o", "_t", "x")
-    left = checkpoint(fetched.mapInArrow(_surroundings, _OPEN))
+    left = checkpoint(fetched.mapInArrow(lean(_surroundings), _OPEN))
     release(spark)
-    while not left.isEmpty():
+    while n_left := left.count():
+        files = n_left // SUFFIXES_A_FILE + 1
         sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
         sized = left.join(sizes, "bucket")
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), left.count() // PER_PARTITION)
-        small = sized.where(F.col("size") <= MOST_SORTED).select("bucket", "doc", "pos", "left", "right", "bytes").repartition(n, "bucket").sortWithinPartitions("bucket")
-        found = found.unionByName(checkpoint(small.mapInArrow(_sort_buckets, "doc long, low long, high long")))
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_left // PER_PARTITION)
+        small = sized.where(F.col("size") <= MOST_SORTED).select("bucket", "doc", "pos", "left", "right", "bytes").repartition(n, "bucket").sortWithinPartitions("bucket").coalesce(files)  # a bucket stays in one piece
+        found = found.unionByName(checkpoint(small.mapInArrow(lean(_sort_buckets), "doc long, low long, high long")))
         large = sized.where(F.col("size") > MOST_SORTED)
         pivots = large.where("doc = least").groupBy("bucket").agg(F.min(F.struct("doc", "pos", "left", "right", "bytes")).alias("pivot"))
         pivots = pivots.select("bucket", *[F.col(f"pivot.{c}").alias(f"pivot_{c}") for c in ("doc", "left", "right", "bytes")])
-        parted = checkpoint(large.select(*left.columns).join(pivots, "bucket").mapInArrow(_parted, _OPEN))
+        parted = checkpoint(large.select(*left.columns).join(pivots, "bucket").coalesce(files).mapInArrow(lean(_parted), _OPEN))
         found = found.unionByName(parted.where("bucket IS NULL").selectExpr("doc", "pos AS low", "pos + high AS high"))
         left = parted.where("bucket IS NOT NULL")
         release(spark)
@@ -561,4 +581,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
-    return rows.mapInArrow(cut, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<low:int,high:int>>")
+    return rows.mapInArrow(lean(cut), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<low:int,high:int>>")

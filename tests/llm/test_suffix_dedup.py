@@ -2,8 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import psutil
+import pyarrow as pa
 import pytest
 
 from rivulet.llm import suffix_dedup
@@ -116,3 +119,31 @@ def test_deep_shallow_sort(letters):
         a, b = rows[k - 1], rows[k]
         want = next((j for j in range(50) if a[1][j] != b[1][j]), 50) if a[0] == b[0] else 0
         assert lcp[k] == want
+
+
+def test_memory_of_a_partition():
+    """Bytes that a worker takes for each anchor of a partition (17 or more are sent): arrays go as soon as they can."""
+    anchor, _ = suffix_dedup._anchor(False)
+    rows = np.zeros(200_000, anchor)
+    rng = np.random.default_rng(1)
+    rows["sig"], rows["around"], rows["doc"] = rng.integers(0, 2, (len(rows), 5)), rng.integers(0, 2, (len(rows), 6)), np.arange(len(rows))
+    blobs = [rows[k : k + 1000].tobytes() for k in range(0, len(rows), 1000)]
+    group = pa.table({"part": pa.array([3] * len(blobs), pa.int64()), "settled": [False] * len(blobs), "rows": blobs})
+    tracemalloc.start()
+    try:
+        out = suffix_dedup._bucketed(False)(group)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out.num_rows == len(rows) and out.column("bucket").null_count == len(rows) - 2**11
+    assert peak < 90 * len(rows)
+
+
+def test_workers_give_their_memory_back(spark):
+    """What a worker holds once it has sent a million anchors and more; before, some hundred MB."""
+    rng = np.random.default_rng(2)
+    texts = ["".join(map(chr, rng.integers(97, 123, 80_000))) for _ in range(250)]
+    held = lambda: {p.pid: p.memory_full_info().uss for p in psutil.process_iter(["cmdline"]) if "pyspark.daemon" in (p.info["cmdline"] or [])}
+    before = held()
+    suffix_dedup._sampled(docs(spark, texts).selectExpr("doc_id AS _d", "0L AS _o", "text AS _t").coalesce(1), 64, False).write.format("noop").mode("overwrite").save()
+    assert max(n - before.get(p, 0) for p, n in held().items()) < 100 << 20
