@@ -11,6 +11,7 @@ from rivulet.llm.common import checkpoint, read
 from .data import AWKWARD, SF, docs
 from .test_decontamination import brute as leaks
 from .test_jaccard_join import brute as components
+from .test_jaccard_join import files_written, near_copies
 
 
 def test_stages(spark):
@@ -90,3 +91,10 @@ def test_empty_and_awkward_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             d = checkpoint(stage(spark, d, SF))
         assert (d.count() > 0) == bool(texts) and set(CLASH) < set(d.columns)
+
+
+def test_near_copies_write_few_files(spark):
+    """While a file's processes start, an executor shows its memory twice: at 64 shuffle partitions most tables of the stage are one file."""
+    table = docs(spark, near_copies(11, 60, 300))
+    n = files_written(spark, lambda: corpus_pipeline.drop_near_copies(spark, table, "").count())
+    assert len(n) > 10 and sum(n) < 20 * len(n), n
