@@ -4,11 +4,12 @@ import json
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rivulet.frame import Frame
 from rivulet.functions import scalars, temporal
-from rivulet.operators import shaping
+from rivulet.operators import shaping, windows
 from rivulet.plans import events, models
 from rivulet.streaming import ingest
 
@@ -146,6 +147,27 @@ def test_windows_and_quantiles(spark):
     assert [(r.lower, r.i, r.x) for r in hist] == [(0.0, 10, 6), (4.0, 0, 0), (8.0, 0, 2), (12.0, 0, 2)]
 
 
+def test_frames_without_end(spark):
+    """Frames that have no end are carried on from the window's end, not computed anew for each row."""
+    rows = [(k, i, None if i % 4 == 1 else i // 2, None if i % 3 else float(i)) for k in "ab" for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, i int, g int, x double")
+    for up in (True, False):
+        by_i, by_g = windows.window(["k"], ["i"], up), windows.window(["k"], ["g"], up)
+        made = {
+            "n": (windows.framed(F.count("*"), by_i, -1, None), by_i.rowsBetween(-1, Window.unboundedFollowing), F.count("*")),
+            "s": (windows.framed(F.sum("x"), by_i, 2, None), by_i.rowsBetween(2, Window.unboundedFollowing), F.sum("x")),
+            "m": (windows.framed(F.min("x"), by_g, -2, None, "range"), by_g.rangeBetween(-2, Window.unboundedFollowing), F.min("x")),
+            "c": (windows.framed(F.count("x"), by_g, 0, None, "range"), by_g.rangeBetween(0, Window.unboundedFollowing), F.count("x")),
+            "b": (windows.bfill(F.col("x"), by_i), by_i.rowsBetween(0, Window.unboundedFollowing), F.first("x", ignorenulls=True)),
+        }
+        out = df.select("k", "i", *[v[0].alias(c) for c, v in made.items()])
+        assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+        want = df.select("k", "i", *[v[2].over(v[1]).alias(c) for c, v in made.items()])
+        assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+        first = df.select("i", windows.framed(F.first("i"), by_i, 1, None).alias("f")).where("k = 'a'").collect()
+        assert {r.i: r.f for r in first} == {i: j if 0 <= j < 40 else None for i in range(40) for j in [i + 1 if up else i - 1]}
+
+
 @pytest.mark.parametrize("right", [True, False])
 def test_cut_like_pandas(spark, right):
     import pandas as pd
