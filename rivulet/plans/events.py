@@ -22,12 +22,13 @@ def context_value(text: Column, kind: str, key: str) -> Column:
 
 
 def extract_contexts(raw: DataFrame) -> DataFrame:
-    """event_id, day, moment, user_id, global_contexts, location_stack, event_type, stack_event_types of raw rows with a JSON value."""
-    at = lambda k: F.get_json_object("value", f"$.{k}")
-    return raw.select(
-        "event_id", "day", "moment", F.col("cookie_id").alias("user_id"), at("global_contexts").alias("global_contexts"), at("location_stack").alias("location_stack"),
-        at("_type").alias("event_type"), F.from_json(at("_types"), "array<string>").alias("stack_event_types"),
-    )
+    """event_id, day, moment, user_id, global_contexts, location_stack, event_type, stack_event_types of raw rows with a JSON value.
+
+    Each value is parsed once, and filters of what it holds are met after that, not by parsing it again. The last of equal keys counts.
+    """
+    found = F.json_tuple("value", "global_contexts", "location_stack", "_type", "_types").alias("global_contexts", "location_stack", "event_type", "_types")
+    df = raw.select("event_id", "day", "moment", F.col("cookie_id").alias("user_id"), found)
+    return df.select(*df.columns[:-1], F.from_json("_types", "array<string>").alias("stack_event_types"))
 
 
 def dedup_events(df: DataFrame, id_col: str = "event_id", by: str = "moment") -> DataFrame:
@@ -99,10 +100,14 @@ def nice_name(stack: Column) -> Column:
     """'Link: a located at Web Document: b => Navigation: c' of a location stack."""
     spaced = lambda t: F.regexp_replace(F.regexp_replace(t, "Context$", ""), "(?<!^)([A-Z])", " $1")
     named = F.transform(contexts(stack), lambda c: F.concat(spaced(c["_type"]), F.lit(": "), c["id"]))
-    n = F.size(named)
-    last = F.element_at(named, -1)
-    above = F.array_join(F.slice(named, F.lit(1), F.greatest(n - 1, F.lit(0))), " => ")
-    return F.when(n == 0, F.lit(None)).when(n == 1, last).otherwise(F.concat(last, F.lit(" located at "), above))
+
+    def joined(names: Column) -> Column:
+        n = F.size(names)
+        last = F.element_at(names, -1)
+        above = F.array_join(F.slice(names, F.lit(1), F.greatest(n - 1, F.lit(0))), " => ")
+        return F.when(n == 0, F.lit(None)).when(n == 1, last).otherwise(F.concat(last, F.lit(" located at "), above))
+
+    return F.get(F.transform(F.array(named), joined), F.lit(0))  # a variable, or each mention would parse the stack again
 
 
 def navigation_features(stack: Column) -> Column:

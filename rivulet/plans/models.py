@@ -71,10 +71,15 @@ def pre_conversion_hits(df: DataFrame, converted: Column, partition: str = "sess
 
 
 def top_features(df: DataFrame, by: list[str]) -> DataFrame:
-    """Users of each feature, most first; rows with a null key are left out."""
+    """Users of each feature, most first; rows with a null key are left out.
+
+    They are left out as groups: a filter of rows would be moved below what makes the keys, and make them twice.
+    """
+    known = F.lit(True)
     for c in by:
-        df = df.where(F.col(c).isNotNull())
-    return _distinct(df, by, "user_id", "unique_users").orderBy(F.desc("unique_users"), *by)
+        known = known & F.col(c).isNotNull()
+    out = df.groupBy(*by).agg(F.count_distinct("user_id").alias("unique_users"), F.bool_and(known).alias("_known"))
+    return out.where("_known").drop("_known").orderBy(F.desc("unique_users"), *by)
 
 
 def top_features_before_conversion(df: DataFrame, converted: Column, by: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from rivulet.frame import Frame
 from rivulet.functions import scalars, temporal
 from rivulet.operators import shaping, windows
 from rivulet.plans import events, models
+from rivulet.plans.event_models import EventModels
 from rivulet.streaming import ingest
 
 TIMES = [
@@ -69,6 +70,21 @@ def test_contexts_and_identities(raw):
     assert {r.user_id for r in hidden.select("user_id").distinct().collect()} == {"b1@x|email", "b4@x|email", None}
 
 
+def test_features_parse_once(raw, spark):
+    """The plan parses a value once, its contexts once and its stack once; groups with an unknown key are left out."""
+    made = raw.withColumn("value", F.concat("value", F.lit("")))
+    out = EventModels().agg.top_product_features(events.extract_contexts(made))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("json_tuple(") == 1 and "get_json_object(" not in plan
+    assert plan.count("from_json(ArrayType(MapType") == 2  # contexts and stack
+    assert [tuple(r) for r in out.collect()] == [("site", "Link: go located at Web Document: #document => Navigation: nav", "ClickEvent", 4)]
+    text = lambda **more: json.dumps({"_type": "ClickEvent", "_types": ["InteractiveEvent"], "global_contexts": [{"_type": "ApplicationContext", "id": "a"}], "location_stack": [{"_type": "MediaPlayerContext", "id": "v"}], **more})
+    odd = [None, "{", "[]", "{}", text(), text(), text(global_contexts=[]), text(location_stack=[]), text(location_stack=None), text(_type=None), text(_types=["x"]), text(location_stack=[{"_type": "A"}])]
+    rows = [(str(i), f"u{i}", v) for i, v in enumerate(odd)]
+    df = spark.createDataFrame(rows, "event_id string, cookie_id string, value string").withColumns({"day": F.lit("2024-01-01").cast("date"), "moment": F.lit("2024-01-01").cast("timestamp_ntz")})
+    assert [tuple(r) for r in EventModels().agg.top_product_features(events.extract_contexts(df)).collect()] == [("a", "Media Player: v", "ClickEvent", 2)]
+
+
 def test_stream(spark, tmp_path):
     now, ok = 10_000_000, '[{"_type": "ApplicationContext", "id": "a"}]'
     rows = [("1", "ClickEvent", now - 5, ok, "[]"), ("1", "ClickEvent", now - 5, ok, "[]"), ("2", "ClickEvent", now - 4_000_000, ok, "[]"), ("3", "ClickEvent", now + 1, ok, "[]"), ("4", "Nothing", now, ok, "[]"), ("5", "ClickEvent", now, "[]", "[]"), (None, "ClickEvent", now, ok, "[]")]
