@@ -48,10 +48,11 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float = 1.0, cap
     w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), (F.col("_rank") % len(weights) + 1).cast("int")).cast("long")
     ranked = ranked.withColumn("_w", w).withColumn("_cap", F.col("source_size") * cap)
     upto = everything.orderBy((F.col("_cap") / F.col("_w")).asc(), F.col("_rank").asc())
+    earlier = upto.rowsBetween(Window.unboundedPreceding, -1)
     ranked = ranked.withColumns({
         "_all": F.sum("source_size").over(everything) * F.lit(float(share)),
-        "_caps": F.sum("_cap").over(upto.rowsBetween(Window.unboundedPreceding, -1)),
-        "_left": F.sum("_w").over(upto.rowsBetween(0, Window.unboundedFollowing)),
+        "_caps": F.sum("_cap").over(earlier),
+        "_left": F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(earlier), F.lit(0)),  # a frame without an end is computed anew for each row
     })
     level = (F.col("_all") - F.coalesce(F.col("_caps"), F.lit(0))) / F.col("_left")
     # The level rises while the sources that it overfills are set aside, and falls after: its peak is the one that holds.

@@ -78,6 +78,15 @@ def test_mixing(spark):
     assert mixing.mix_plan(docs(spark, []), [1, 2, 3]).count() == 0
 
 
+def test_targets_of_many_sources(spark):
+    """No sum is computed anew for each source."""
+    sizes = {f"s{i}": (i * 7919) % 1000 + 1 for i in range(300)}
+    out = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), [1, 2, 30])
+    assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().toString()
+    want = targets(sizes, [1, 2, 30], 3)
+    assert {r.source: r.target for r in out.collect()} == pytest.approx(want)
+
+
 def test_chat_round_trip(spark):
     own = "</s>[INST] ok [/INST]"
     rows = [(1, 0, "system", "be\nkind"), (1, 1, "user", own), (1, 2, "assistant", "\\l \\s <s>"), (1, 3, "tool", "<<SYS>>x\n"), (1, 4, "assistant", ""), (1, 5, "user", "bye"), (2, 0, "user", None), (3, 0, "assistant", "only"), (None, 0, "to\nol\\n", "a"), (None, None, None, "b"), (4, 0, "assistant", "same"), (4, 0, "assistant", "same"), (-7, 0, "user", own), (-7, 1, "assistant", own)]
